@@ -18,6 +18,7 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_BLANKS = re.compile("[\x1c-\x1f]")
 #: Beyond these, case, letters and composition depend on the Unicode version the tokenizer was built with.
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
-MEMO_WORDS = 150_000
+MEMO_WORDS, LIBRARY_WORDS = 150_000, 300_000
 END = 256
 
 
@@ -336,29 +337,52 @@ def encode_documents(docs: DataFrame, path: str, *, digests: bool = True) -> Dat
 
 
 class LibraryIds:
-    """Ids by word from the tokenizers library itself, for operators that only need them fast."""
+    """Ids by word from the tokenizers library itself, for operators that only need them fast.
+
+    Pieces that aren't known yet are encoded together, joined by spaces: each ends in the only one of
+    its ids that carries the word-end mark, so the ids fall apart again.
+    """
 
     def __init__(self, path: str):
         self.front = FrontEnd(path)
-        self.memo = Memo(lambda w: array("I", self.front.tokenizer.encode(w, add_special_tokens=False).ids).tobytes())
-
-    def load(self, texts: list[str]) -> list[list[tuple[bool, list[str] | str]]]:
-        """Words of each text; those not kept yet are encoded in one call."""
-        cut = [[(s, p if s else self.front.words(p)) for s, p in self.front.split(t)] for t in texts]
-        memo, old = self.memo, self.memo.old
-        new = {w for parts in cut for s, ws in parts if not s for w in ws if w not in memo and w not in old and len(w) <= 64}
-        if len(memo) + len(new) > memo.limit:
-            memo.old = dict(memo)
-            memo.clear()
-        words = list(new)
-        for w, e in zip(words, self.front.tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
-            memo[w] = array("I", e.ids).tobytes()
-        return cut
+        self.memo = Memo(self._word, LIBRARY_WORDS)
+        vocabulary = self.front.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _word(self, word: str) -> bytes:
+        return array("I", self.front.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Put words into the memo; all of Latin script."""
+        plain = {w for w in words if w.isalpha()}
+        cut = {w: PIECES.findall(w) for w in words - plain}
+        pieces = list(plain.union(*cut.values()))
+        if not pieces:
+            return
+        lines = [" ".join(pieces[i : i + 64]) for i in range(0, len(pieces), 64)]
+        ids = np.array([i for e in self.front.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.uint32)
+        raw, last = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        found = dict(zip(pieces, [raw[x:y] for x, y in zip([0, *last[:-1]], last, strict=True)], strict=True))
+        if len(self.memo) + len(words) > self.memo.limit:
+            self.memo.old = dict(self.memo)
+            self.memo.clear()
+        for w in plain:
+            self.memo[w] = found[w]
+        for w, ps in cut.items():
+            self.memo[w] = b"".join([found[p] for p in ps])
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        get = self.memo.__getitem__
-        out = []
-        for parts in self.load(texts):
+        cut = [[(s, p if s else self.front.words(p)) for s, p in self.front.split(t)] for t in texts]
+        words: set[str] = set()
+        for parts in cut:
+            for special, ws in parts:
+                if not special:
+                    words.update(ws)
+        new = words.difference(self.memo).difference(self.memo.old)
+        self._learn({w for w in new if len(w) <= 64 and (w.isascii() or not BEYOND_LATIN.search(w))})
+        get, out = self.memo.__getitem__, []
+        for parts in cut:
             ids = [array("I", [self.front.specials[p]]).tobytes() if s else b"".join(map(get, p)) for s, p in parts]
             out.append(ids[0] if len(ids) == 1 else b"".join(ids))
         return out
