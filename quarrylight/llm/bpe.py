@@ -33,7 +33,7 @@ BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_BLANKS = re.compile("[\x1c-\x1f]")
 #: Beyond these, case, letters and composition depend on the Unicode version the tokenizer was built with.
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
-MEMO_WORDS, LIBRARY_WORDS = 150_000, 300_000
+MEMO_WORDS, LIBRARY_WORDS = 220_000, 500_000
 END = 256
 
 
@@ -74,7 +74,7 @@ class Vocabulary:
                 self.merged[left, right] = (rank, whole)
             if whole not in self.parts:
                 self.parts[whole], self.born[whole] = (left, right), rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.sound: dict[int, bool] = {}
         self._grow_automaton()
 
@@ -115,13 +115,15 @@ class Vocabulary:
                 last = new
         found: list[list[tuple[int, int]] | None] = [None] * len(step)
         for i, token in self.symbols.items():
+            if not self.reachable(i):
+                continue
             s = 0
             for c in token:
                 s = step[s][c]
             if found[s] is None:
                 found[s] = []
             found[s].append((len(token), i))
-        # tokens of a state and of all its suffixes, longest first, as a chain of states that have any
+        # the tokens of a state and of its suffixes, longest first: a chain of the states that have any
         chain = [0] * len(step)
         for s in sorted(range(1, len(step)), key=depth.__getitem__):
             chain[s] = link[s] if found[link[s]] else chain[link[s]]
@@ -152,11 +154,9 @@ class Vocabulary:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the two tokens, written side by side, encode to themselves."""
-        key = (a, b)
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > 400_000:
-                self.pairs.clear()
-            known = self.pairs[key] = self._apart(a, b, 1 << 40)
+        if len(self.pairs) > 600_000:
+            self.pairs.clear()
+        known = self.pairs[a << 20 | b] = self._apart(a, b, 1 << 40)
         return known
 
     def reachable(self, token: int) -> bool:
@@ -174,27 +174,34 @@ class Vocabulary:
         """Ids of one piece: the last token of every prefix, then back-pointers."""
         last: list[int] = [-1] * (len(word) + 1)
         size: list[int] = [0] * (len(word) + 1)
-        step, link, depth, found, chain = self.step, self.link, self.depth, self.found, self.chain
-        s = length = 0
-        for end, c in enumerate(word, 1):
+        step, link, depth, found, chain, pairs = self.step, self.link, self.depth, self.found, self.chain, self.pairs
+        s = length = end = 0
+        for c in word:
+            end += 1
             while c not in step[s]:
                 s = link[s]
                 length = depth[s]
             s = step[s][c]
             length += 1
-            at = s
-            while last[end] < 0:
-                for n, token in found[at] or ():
+            at = s if found[s] else chain[s]
+            while at:
+                for n, token in found[at]:
                     if n > length:
                         continue
-                    if not self.reachable(token):
-                        continue
-                    if n == end or (last[end - n] >= 0 and self.compatible(last[end - n], token)):
-                        last[end], size[end] = token, n
-                        break
-                if at == 0:
+                    if n < end:
+                        left = last[end - n]
+                        if left < 0:
+                            continue
+                        fits = pairs.get(left << 20 | token)
+                        if fits is None:
+                            fits = self.compatible(left, token)
+                        if not fits:
+                            continue
+                    last[end], size[end] = token, n
+                    at = 0
                     break
-                at = chain[at]
+                else:
+                    at = chain[at]
         out, end = [], len(word)
         while end:
             out.append(last[end])

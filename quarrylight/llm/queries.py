@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, fingerprints, minhash, neighbours, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filters
-from .common import shared_dir, spill, table
+from .common import shared_dir, table
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -41,17 +41,17 @@ def op5_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after three batches: all documents; takedown of toxic ones and recount of low-quality ones
-    without their symbols; a replay of the second batch, which must change nothing."""
+    """Totals after three batches: all documents; takedown of the toxic ones and a recount in words of the
+    low-quality ones; a replay of the second batch, which must change nothing. Texts are counted before
+    they meet labels, so only ids and counts are joined."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     totals = token_counts.TokenTotals(spark, f"{shared_dir(spark)}/quarrylight/totals-{uuid.uuid4().hex}")
-    version = TOKENIZER.removesuffix(".json")
-    totals.apply("documents", token_counts.count_tokens(docs, tokenizer_path(), version))
+    totals.apply("documents", token_counts.count_tokens(docs, tokenizer_path(), TOKENIZER.removesuffix(".json")))
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
     poor = labels.where("quality = 0").select("doc_id").distinct().join(toxic, "doc_id", "left_anti")
-    cleaned = docs.join(poor, "doc_id", "left_semi").withColumn("text", F.regexp_replace("text", r"[^\p{L}\p{N}\s]+", ""))
+    recount = token_counts.count_words(docs).join(poor, "doc_id", "left_semi")
     for _ in ("first", "replay"):
-        totals.apply("takedown", token_counts.count_tokens(cleaned, tokenizer_path(), version), toxic)
+        totals.apply("takedown", recount, toxic)
     return totals.totals()
 
 

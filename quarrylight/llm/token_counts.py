@@ -30,13 +30,19 @@ def count_tokens(docs: DataFrame, path: str, version: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = library_ids(path)
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", 8 << 20):
             n = [len(ids) // 4 for ids in source.encode_all(col(b, "text").to_pylist())]
             yield pa.RecordBatch.from_arrays([col(b, "doc_id"), col(b, "source"), col(b, "lang"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["doc_id", *KEYS, "n_tokens"])
 
     return kept.mapInArrow(run, "doc_id long, source string, lang string, tokenizer_version string, n_tokens long")
 
 
+def count_words(docs: DataFrame, version: str = "words") -> DataFrame:
+    """The same with the words ``[^\\x20\\x09-\\x0D]+`` as tokens."""
+    words = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.lit(version).alias("tokenizer_version"), F.size(words).cast("long").alias("n_tokens"))
+
+
 class TokenTotals:
     """Totals kept by signed deltas in ``root``, a folder that driver and executors share.
 
