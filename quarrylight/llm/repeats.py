@@ -30,7 +30,7 @@ from .common import Rolling, U, buffers, byte_values, col, keyed, partitions, sl
 
 BYTE = byte_values(3)
 #: Strings of one minimiser that a task holds together; larger groups count their windows one by one.
-GROUP_ROWS = 5_000
+GROUP_ROWS = 1_000
 
 
 @dataclass(frozen=True)
