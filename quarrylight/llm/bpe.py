@@ -1,8 +1,8 @@
 """Exact BPE encoding and decoding (operator 5) and the word-level front end that packing and counts share.
 
 A text is cut at special tokens, NFC-normalised, lower-cased and split into words at white space, then
-into pieces by the tokenizer's pattern. No piece crosses white space, so ids are kept by word in a
-bounded memo. A piece is encoded by dynamic programming over its prefixes: a suffix automaton of the
+into pieces by the tokenizer's pattern. Pieces are independent, so their ids are kept in a bounded
+memo. A piece is encoded by dynamic programming over its prefixes: a suffix automaton of the
 vocabulary walks over the piece and gives, at each position, every token that ends there; the one token
 whose pair with the last token of the shorter prefix survives the merge order is that prefix's unique
 last token. Following back-pointers from the end emits the ids.
@@ -28,12 +28,14 @@ from .common import col, keyed, slices
 
 #: The piece pattern of the tokenizer file, for text without white space.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+")
+#: The same for lower-case Latin text, where the standard library's classes say it with these exceptions.
+LATIN_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
 #: White space as the tokenizer file's pattern has it; str.split() takes U+001C to U+001F besides.
 BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
 ODD_BLANKS = re.compile("[\x1c-\x1f]")
 #: Beyond these, case, letters and composition depend on the Unicode version the tokenizer was built with.
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
-MEMO_WORDS, LIBRARY_WORDS = 220_000, 500_000
+MEMO_WORDS, LIBRARY_WORDS = 250_000, 250_000
 END = 256
 
 
@@ -242,6 +244,16 @@ class FrontEnd:
             return [w for w in BLANKS.split(text) if w]
         return text.split()
 
+    def units(self, text: str) -> list[str]:
+        """Pieces of a Latin text, words of any other: strings that can be encoded by themselves."""
+        if text.isascii():
+            text = text.lower()
+        elif BEYOND_LATIN.search(text):
+            return self.words(text)
+        else:
+            text = unicodedata.normalize("NFC", text).lower()
+        return self.words(text) if ODD_BLANKS.search(text) else LATIN_PIECES.findall(text)
+
     def split(self, text: str) -> list[tuple[bool, str]]:
         """Special tokens and the texts between them."""
         if "<|" not in text or not self.special.search(text):
@@ -279,11 +291,10 @@ class Encoder:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.front = FrontEnd(path)
-        self.pieces = Memo(self.vocabulary.encode_piece)
-        self.words = Memo(self._word)
+        self.memo = Memo(self._unit)
 
-    def _word(self, word: str) -> tuple[bytes, bytes]:
-        ids = [i for p in self.front.pieces(word) for i in self.pieces[p]]
+    def _unit(self, unit: str) -> tuple[bytes, bytes]:
+        ids = [i for p in self.front.pieces(unit) for i in self.vocabulary.encode_piece(p)]
         return array("I", ids).tobytes(), self._tokens(ids)
 
     def _tokens(self, ids: list[int]) -> bytes:
@@ -295,7 +306,7 @@ class Encoder:
             if special:
                 out.append((array("I", [self.front.specials[part]]).tobytes(), part.encode("utf-8")))
             else:
-                out += map(self.words.__getitem__, self.front.words(part))
+                out += map(self.memo.__getitem__, self.front.units(part))
         return out
 
     def encode(self, text: str | None) -> bytes:
@@ -360,34 +371,27 @@ class LibraryIds:
     def _word(self, word: str) -> bytes:
         return array("I", self.front.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
-    def _learn(self, words: set[str]) -> None:
-        """Put words into the memo; all of Latin script."""
-        plain = {w for w in words if w.isalpha()}
-        cut = {w: PIECES.findall(w) for w in words - plain}
-        pieces = list(plain.union(*cut.values()))
-        if not pieces:
-            return
+    def _learn(self, pieces: list[str]) -> None:
+        """Put pieces into the memo."""
         lines = [" ".join(pieces[i : i + 64]) for i in range(0, len(pieces), 64)]
         ids = np.array([i for e in self.front.tokenizer.encode_batch_fast(lines, add_special_tokens=False) for i in e.ids], np.uint32)
         raw, last = ids.tobytes(), (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        found = dict(zip(pieces, [raw[x:y] for x, y in zip([0, *last[:-1]], last, strict=True)], strict=True))
-        if len(self.memo) + len(words) > self.memo.limit:
+        found = [raw[x:y] for x, y in zip([0, *last[:-1]], last, strict=True)]
+        if len(self.memo) + len(pieces) > self.memo.limit:
             self.memo.old = dict(self.memo)
             self.memo.clear()
-        for w in plain:
-            self.memo[w] = found[w]
-        for w, ps in cut.items():
-            self.memo[w] = b"".join([found[p] for p in ps])
+        self.memo.update(zip(pieces, found, strict=True))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [[(s, p if s else self.front.words(p)) for s, p in self.front.split(t)] for t in texts]
-        words: set[str] = set()
+        cut = [[(s, p if s else self.front.units(p)) for s, p in self.front.split(t)] for t in texts]
+        units: set[str] = set()
         for parts in cut:
-            for special, ws in parts:
+            for special, us in parts:
                 if not special:
-                    words.update(ws)
-        new = words.difference(self.memo).difference(self.memo.old)
-        self._learn({w for w in new if len(w) <= 64 and (w.isascii() or not BEYOND_LATIN.search(w))})
+                    units.update(us)
+        new = units.difference(self.memo).difference(self.memo.old)
+        if pieces := [u for u in new if len(u) <= 64 and (u.isascii() or not BEYOND_LATIN.search(u)) and LATIN_PIECES.fullmatch(u)]:
+            self._learn(pieces)
         get, out = self.memo.__getitem__, []
         for parts in cut:
             ids = [array("I", [self.front.specials[p]]).tobytes() if s else b"".join(map(get, p)) for s, p in parts]

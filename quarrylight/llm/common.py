@@ -9,6 +9,7 @@ null ids stay apart from other documents.
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -20,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 U = np.uint64
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -78,6 +79,8 @@ def spill(spark: SparkSession, df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/quarrylight/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     atexit.register(_delete, spark, path)
+    gc.collect()  # finished jobs' shuffle files go once nothing on the driver holds their plans
+    spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._spill_path = path
     return out

@@ -7,10 +7,12 @@ document is posted under that prefix only, and values that occur once are skippe
 prefix without a posting. Two sets with Jaccard similarity 0.8 agree in fewer than ``MATCHES``
 coordinates with probability below 1e-5, and less above it.
 
-Posting lists of large groups would give a quadratic number of pairs. So lists are first met by hubs:
-everyone in a list is paired with one member, chosen anew in each round, links are confirmed on the full
-sets and contracted to components, and only then all pairs that still lie in different components are
-formed. That last round leaves nothing out; the hubs only make it short.
+A posting list of a large group would give a quadratic number of pairs. So everyone in a list is first
+paired with one member only, its hub, and links that the full sets confirm are contracted to components.
+Lists that still span components are then settled hub by hub: the members of a hub's lists meet in
+blocks of bounded size, where set intersections of all pairs across components are counted at once by a
+matrix product, and only one link for each pair of components leaves the task. Two documents that meet
+in any list share its hub, so no pair is left out, and no pairs are written as rows.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import U, Rolling, buffers, byte_values, col, keyed, mix, slices, spill, word_bounds
 from .components import components
 
-COORDINATES, MATCHES, HUB_ROUNDS = 48, 24, 2
+COORDINATES, MATCHES, BLOCK = 48, 24, 384
 LOWERED = byte_values(5)
 LOWERED[65:91] = LOWERED[97:123]  # A-Z count as a-z
 SEEDS = mix(np.arange(COORDINATES, dtype=np.uint64) + U(77))
@@ -109,6 +111,45 @@ def alike(percent: int):
     return run
 
 
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of columns of shared elements."""
+    sizes = [len(s) for s in sets]
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often > 1  # an element of one set alone is in no intersection
+    number = np.cumsum(shared) - 1
+    row = np.repeat(np.arange(len(sets)), sizes)
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out, width = np.zeros((len(sets), len(sets)), np.float32), 4096
+    for first in range(0, int(shared.sum()), width):
+        x, y = np.searchsorted(column, (first, first + width))
+        m = np.zeros((len(sets), width), np.float32)
+        m[row[x:y], column[x:y] - first] = 1
+        out += m @ m.T
+    return out
+
+
+def across(percent: int):
+    """One link (u, v) for each pair of components that a cell's documents link."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        part, node = cell["part"].to_numpy(), cell["node"].to_numpy()
+        u = v = np.zeros(0, np.int64)
+        if len(np.unique(part)) > 1:
+            sets = [np.frombuffer(x, np.uint64) for x in cell["shingles"].to_pylist()]
+            n = np.array([len(x) for x in sets])
+            both = intersections(sets).astype(np.int64)
+            i, j = np.nonzero((100 * both >= percent * (n[:, None] + n[None, :] - both)) & (part[:, None] < part[None, :]))
+            if len(i):
+                _, first = np.unique(np.stack([part[i], part[j]]), axis=1, return_index=True)
+                u, v = np.maximum(node[i[first]], node[j[first]]), np.minimum(node[i[first]], node[j[first]])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, and k1, k2, for every document.
 
@@ -139,37 +180,29 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
             yield pa.RecordBatch.from_arrays([col(b, "node"), pa.array([flat[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["node", "shingles"])
 
     sets = spill(spark, keyed(docs).select("k1", "k2", "text").join(chosen.hint("shuffle_hash"), ["k1", "k2"]).select("node", "text").mapInArrow(full, "node long, shingles binary").dropDuplicates(["node"]))
-    signatures = reps.select("node", "signature")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of candidate pairs (u, v), those above the match threshold and then the similarity."""
-
-        def both(pairs: DataFrame, side: DataFrame, value: str, name: str) -> DataFrame:
-            for end in ("u", "v"):
-                pairs = pairs.join(side.select(F.col("node").alias(end), F.col(value).alias(f"{name}_{end}")), end)
-            return pairs
-
-        close = spill(spark, both(pairs, signatures, "signature", "sig").mapInArrow(matching(MATCHES), "u long, v long"))
-        return both(close, sets, "shingles", "set").mapInArrow(alike(percent), "u long, v long")
-
-    links, tested, labels = None, None, None
-    for turn in range(HUB_ROUNDS + 1):
-        own = F.col("node") if labels is None else F.coalesce("component", "node")
-        here = (lists if labels is None else lists.join(labels, "node", "left")).select("key", "node", own.alias("part"))
-        mixed = here.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by(F.struct("node", "part"), F.xxhash64(F.lit(turn), "node")).alias("hub")).where("low <> high")
-        if turn < HUB_ROUNDS:
-            met = here.join(mixed, "key").where("part <> hub.part").select("node", F.col("hub.node").alias("other"))
-        else:
-            left = here.join(mixed, "key", "left_semi")
-            met = left.join(left.select("key", F.col("node").alias("other"), F.col("part").alias("other_part")), "key").where("part < other_part").select("node", "other")
-        pairs = met.select(F.greatest("node", "other").alias("u"), F.least("node", "other").alias("v")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = spill(spark, pairs)
-        new = spill(spark, confirmed(pairs))
-        links = new if links is None else links.unionByName(new)
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        labels = spill(spark, components(links))
+    known = reps.select("node", "signature", "n")
+
+    # everyone with its lists' hub: the same few members for all lists of a group, by a fixed hash
+    hub = F.min_by("node", F.xxhash64("node")).alias("hub")
+    met = lists.join(lists.groupBy("key").agg(hub), "key").where("node <> hub").select("node", "hub").distinct()
+    pairs = met.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+    for end in ("u", "v"):
+        pairs = pairs.join(known.select(F.col("node").alias(end), F.col("signature").alias(f"sig_{end}"), F.col("n").alias(f"n_{end}")), end)
+    close = spill(spark, pairs.where(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)").select("u", "v", "sig_u", "sig_v").mapInArrow(matching(MATCHES), "u long, v long"))
+    for end in ("u", "v"):
+        close = close.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), end)
+    links = spill(spark, close.mapInArrow(alike(percent), "u long, v long"))
+    labels = spill(spark, components(links))
+
+    # lists that still span components, hub by hub
+    here = lists.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    mixed = here.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), hub).where("low <> high").select("key", "hub")
+    members = spill(spark, here.join(mixed, "key").select("hub", "node", "part").distinct())
+    sizes = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = placed.select("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "part").join(sets, "node")
+    more = cells.groupBy("hub", "low", "high").applyInArrow(across(percent), "u long, v long")
+    labels = spill(spark, components(links.unionByName(spill(spark, more))))
 
     parts = reps.join(labels, "node", "left").select(*kind, "least", F.coalesce("component", "node").alias("part"))
     lowest = parts.groupBy("part").agg(F.min("least").alias("component_id"))

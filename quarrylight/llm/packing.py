@@ -87,7 +87,7 @@ def pack_documents(docs: DataFrame, path: str, *, end_id: int = 1, capacity: int
             arrays = [pa.array(c, pa.int64()) for c in columns] + ([pa.array(ids, pa.binary())] if keep_ids else [])
             return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", 2 << 20):
             for doc_id, ids in zip(col(b, "doc_id").to_pylist(), source.encode_all(col(b, "text").to_pylist()), strict=True):
                 held.append(ids + end)
                 names.append(doc_id)

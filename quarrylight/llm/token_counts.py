@@ -30,7 +30,7 @@ def count_tokens(docs: DataFrame, path: str, version: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source = library_ids(path)
-        for b in slices(batches, "text", 8 << 20):
+        for b in slices(batches, "text", 2 << 20):
             n = [len(ids) // 4 for ids in source.encode_all(col(b, "text").to_pylist())]
             yield pa.RecordBatch.from_arrays([col(b, "doc_id"), col(b, "source"), col(b, "lang"), pa.array([version] * len(n), pa.string()), pa.array(n, pa.int64())], names=["doc_id", *KEYS, "n_tokens"])
 

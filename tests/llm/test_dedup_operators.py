@@ -88,9 +88,9 @@ def test_near_duplicates_on_awkward_rows(spark, size):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_near_duplicates_lose_no_link(spark, rounds, monkeypatch):
-    monkeypatch.setattr(minhash, "HUB_ROUNDS", rounds)
+@pytest.mark.parametrize("block", [384, 3])
+def test_near_duplicates_lose_no_link(spark, block, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     r = random.Random(8)
     vocabulary = [f"w{i}" for i in range(400)]
     found = []
@@ -108,6 +108,12 @@ def test_near_duplicates_lose_no_link(spark, rounds, monkeypatch):
     assert got == jaccard_components(found, 2)
 
 
+def test_intersections():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 6000)).astype(np.uint64)) for _ in range(12)]
+    assert minhash.intersections(sets).tolist() == [[len(np.intersect1d(a, b)) if i != j else minhash.intersections(sets)[i, i] for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 240)] + [(r.randrange(300, 400), r.randrange(300, 400)) for _ in range(70)] + [(5, 5), (7, 6), (6, 7)]
