@@ -53,14 +53,12 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Documents stay, even if nothing of their text is left; n_chars follows the text. A null text becomes empty.
     """
     prepare(spark)
-    found = suffix_dedup.find_repeated_bytes(docs, more=("lang", "source"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            texts = [suffix_dedup.without(t.encode("utf-8"), s).decode("utf-8", "ignore") if s else t for t, s in zip(col(b, "text").to_pylist(), col(b, "spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([col(b, "doc_id"), pa.array(texts, pa.string()), col(b, "lang"), col(b, "source"), pa.array([len(t) for t in texts], pa.int64())], names=COLUMNS)
+    def make(b: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        texts = [suffix_dedup.without(t.encode("utf-8"), s).decode("utf-8", "ignore") if s else t for t, s in zip(col(b, "text").to_pylist(), spans, strict=True)]
+        return pa.RecordBatch.from_arrays([col(b, "doc_id"), pa.array(texts, pa.string()), col(b, "lang"), col(b, "source"), pa.array([len(t) for t in texts], pa.int64())], names=COLUMNS)
 
-    return found.mapInArrow(run, "doc_id long, text string, lang string, source string, n_chars long")
+    return suffix_dedup.map_repeated_bytes(docs, make, "doc_id long, text string, lang string, source string, n_chars long", more=("lang", "source"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,12 +29,15 @@ _POWERS: list[np.ndarray] = []
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package wherever the driver found it."""
+    """Let Python workers import this package wherever the driver found it, and keep their batches small."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
     known = [*os.environ.get("PYTHONPATH", "").split(":"), *env.get("PYTHONPATH", "").split(":")]
     if root not in known:
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), root) if x)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(rows) == "10000":  # Spark's default; texts make such batches large
+        spark.conf.set(rows, "1000")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,12 +7,13 @@ document is posted under that prefix only, and values that occur once are skippe
 prefix without a posting. Two sets with Jaccard similarity 0.8 agree in fewer than ``MATCHES``
 coordinates with probability below 1e-5, and less above it.
 
-A posting list of a large group would give a quadratic number of pairs. So everyone in a list is first
-paired with one member only, its hub, and links that the full sets confirm are contracted to components.
-Lists that still span components are then settled hub by hub: the members of a hub's lists meet in
-blocks of bounded size, where set intersections of all pairs across components are counted at once by a
-matrix product, and only one link for each pair of components leaves the task. Two documents that meet
-in any list share its hub, so no pair is left out, and no pairs are written as rows.
+A posting list of a large group would give a quadratic number of pairs. So each document is first paired
+with one hub of its lists only, and links that the full sets confirm are contracted to components. Lists
+that still span components are then settled group by group, a group being the lists whose hub lies in
+one component: the members outside that component meet all members in blocks of bounded size, where the
+intersections of all pairs are counted at once by a matrix product, and one link for each pair of
+components leaves the task. Of two documents in different components that meet in a list, one lies
+outside its hub's component, so no pair is left out, and no pairs are written as rows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import U, Rolling, buffers, byte_values, col, keyed, mix, slices, spill, word_bounds
 from .components import components
 
-COORDINATES, MATCHES, BLOCK = 48, 24, 384
+COORDINATES, MATCHES, BLOCK = 48, 24, 512
 LOWERED = byte_values(5)
 LOWERED[65:91] = LOWERED[97:123]  # A-Z count as a-z
 SEEDS = mix(np.arange(COORDINATES, dtype=np.uint64) + U(77))
@@ -111,40 +112,46 @@ def alike(percent: int):
     return run
 
 
-def intersections(sets: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of all pairs of sets, by products of columns of shared elements."""
-    sizes = [len(s) for s in sets]
-    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = often > 1  # an element of one set alone is in no intersection
-    number = np.cumsum(shared) - 1
-    row = np.repeat(np.arange(len(sets)), sizes)
-    keep = shared[column]
-    row, column = row[keep], number[column[keep]]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    out, width = np.zeros((len(sets), len(sets)), np.float32), 4096
-    for first in range(0, int(shared.sum()), width):
-        x, y = np.searchsorted(column, (first, first + width))
-        m = np.zeros((len(sets), width), np.float32)
-        m[row[x:y], column[x:y] - first] = 1
-        out += m @ m.T
+def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each of ``one`` with each of ``two``, by products of 0/1 columns."""
+    flat, rows, out = [], [], np.zeros((len(one), len(two)), np.float32)
+    common = np.intersect1d(np.concatenate(one), np.concatenate(two))
+    for sets in (one, two):
+        x, r = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(common, x)
+        at[at == len(common)] = 0
+        keep = common[at] == x if len(common) else np.zeros(len(x), bool)
+        at, r = at[keep], r[keep]
+        order = np.argsort(at, kind="stable")
+        flat.append(at[order])
+        rows.append(r[order])
+    for first in range(0, len(common), 2048):
+        parts = []
+        for at, r, sets in zip(flat, rows, (one, two), strict=True):
+            x, y = np.searchsorted(at, (first, first + 2048))
+            m = np.zeros((len(sets), min(2048, len(common) - first)), np.float32)
+            m[r[x:y], at[x:y] - first] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
     return out
 
 
 def across(percent: int):
-    """One link (u, v) for each pair of components that a cell's documents link."""
+    """One link (u, v) for each pair of components that the documents of a cell link."""
 
     def run(cell: pa.Table) -> pa.Table:
-        part, node = cell["part"].to_numpy(), cell["node"].to_numpy()
+        part, node, outer = (cell[c].to_numpy() for c in ("part", "node", "outer"))
+        sets = [np.frombuffer(x, np.uint64) for x in cell["shingles"].to_pylist()]
+        n = np.array([len(x) for x in sets])
+        a, b = np.flatnonzero(outer), np.flatnonzero(~outer)
         u = v = np.zeros(0, np.int64)
-        if len(np.unique(part)) > 1:
-            sets = [np.frombuffer(x, np.uint64) for x in cell["shingles"].to_pylist()]
-            n = np.array([len(x) for x in sets])
-            both = intersections(sets).astype(np.int64)
-            i, j = np.nonzero((100 * both >= percent * (n[:, None] + n[None, :] - both)) & (part[:, None] < part[None, :]))
+        if len(a) and len(b):
+            both = intersections([sets[i] for i in a], [sets[i] for i in b]).astype(np.int64)
+            i, j = np.nonzero((100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)) & (part[a][:, None] != part[b][None, :]))
+            i, j = a[i], b[j]
             if len(i):
                 _, first = np.unique(np.stack([part[i], part[j]]), axis=1, return_index=True)
-                u, v = np.maximum(node[i[first]], node[j[first]]), np.minimum(node[i[first]], node[j[first]])
+                u, v = node[i[first]], node[j[first]]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
@@ -182,10 +189,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     sets = spill(spark, keyed(docs).select("k1", "k2", "text").join(chosen.hint("shuffle_hash"), ["k1", "k2"]).select("node", "text").mapInArrow(full, "node long, shingles binary").dropDuplicates(["node"]))
     known = reps.select("node", "signature", "n")
 
-    # everyone with its lists' hub: the same few members for all lists of a group, by a fixed hash
-    hub = F.min_by("node", F.xxhash64("node")).alias("hub")
-    met = lists.join(lists.groupBy("key").agg(hub), "key").where("node <> hub").select("node", "hub").distinct()
-    pairs = met.select(F.greatest("node", "hub").alias("u"), F.least("node", "hub").alias("v")).distinct()
+    # everyone with one hub: of its lists' least members by a fixed hash, the least
+    order = F.xxhash64(F.lit(5), "node")
+    hubs = lists.join(lists.groupBy("key").agg(F.min(F.struct(order.alias("order"), "node")).alias("hub")), "key")
+    pairs = hubs.groupBy("node").agg(F.min("hub").alias("hub")).where("node <> hub.node").select(F.greatest("node", "hub.node").alias("u"), F.least("node", "hub.node").alias("v"))
     for end in ("u", "v"):
         pairs = pairs.join(known.select(F.col("node").alias(end), F.col("signature").alias(f"sig_{end}"), F.col("n").alias(f"n_{end}")), end)
     close = spill(spark, pairs.where(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)").select("u", "v", "sig_u", "sig_v").mapInArrow(matching(MATCHES), "u long, v long"))
@@ -194,15 +201,20 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     links = spill(spark, close.mapInArrow(alike(percent), "u long, v long"))
     labels = spill(spark, components(links))
 
-    # lists that still span components, hub by hub
+    # lists that still span components, by the component of their hub
     here = lists.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    mixed = here.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), hub).where("low <> high").select("key", "hub")
-    members = spill(spark, here.join(mixed, "key").select("hub", "node", "part").distinct())
-    sizes = members.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(sizes, "hub").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "node"), "blocks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = placed.select("hub", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "node", "part").join(sets, "node")
-    more = cells.groupBy("hub", "low", "high").applyInArrow(across(percent), "u long, v long")
-    labels = spill(spark, components(links.unionByName(spill(spark, more))))
+    mixed = here.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("part", order).alias("home")).where("low <> high").select("key", "home")
+    members = spill(spark, here.join(mixed, "key").select("home", "node", "part").distinct())
+    count = lambda rows: F.greatest(F.lit(1), F.ceil(F.count(rows) / BLOCK)).cast("int")
+    sizes = members.groupBy("home").agg(count(F.lit(1)).alias("all"), count(F.when(F.col("part") != F.col("home"), 1)).alias("out"))
+    placed = members.join(sizes, "home")
+    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), n).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outer = placed.where("part <> home").select("home", "node", "part", F.lit(True).alias("outer"), deal(3, F.col("out")).alias("i"), spread("all").alias("j"))
+    inner = placed.select("home", "node", "part", F.lit(False).alias("outer"), deal(4, F.col("all")).alias("j"), spread("out").alias("i"))
+    cells = outer.unionByName(inner).join(sets, "node")
+    more = spill(spark, cells.groupBy("home", "i", "j").applyInArrow(across(percent), "u long, v long"))
+    labels = spill(spark, components(links.unionByName(more)))
 
     parts = reps.join(labels, "node", "left").select(*kind, "least", F.coalesce("component", "node").alias("part"))
     lowest = parts.groupBy("part").agg(F.min("least").alias("component_id"))

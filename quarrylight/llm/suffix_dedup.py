@@ -9,7 +9,7 @@ in one comparison. Neighbours in suffix order that share a whole window are repe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -169,9 +169,9 @@ def suffix_windows(window: int):
     return decide
 
 
-def find_repeated_bytes(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM, more: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text (null: empty), the columns named in ``more``, and spans: the maximal runs [first, last)
-    of bytes that repeated windows cover.
+def map_repeated_bytes(docs: DataFrame, make: Callable[[pa.RecordBatch, list[list[tuple[int, int]]]], pa.RecordBatch], schema: str, *, window: int = WINDOW, gram: int = GRAM, more: tuple[str, ...] = ()) -> DataFrame:
+    """``make`` over batches of doc_id, text (null: empty) and the columns named in ``more``, with each
+    text's spans: the maximal runs [first, last) of bytes that repeated windows cover.
 
     A window is ``window`` bytes of the UTF-8 text; it is repeated if its bytes also start anywhere
     else, in the same document or another, overlapping or not. A shorter text has none. Repeated rows
@@ -179,36 +179,30 @@ def find_repeated_bytes(docs: DataFrame, *, window: int = WINDOW, gram: int = GR
     """
     units = Units(False, window, min(gram, window))
     texts, flags = repeated(docs, units, suffix_windows(window), more)
-    names = ["doc_id", "text", *more]
-    kinds = {f.name: f.dataType.simpleString() for f in texts.schema}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            spans = [[{"first": x, "last": y} for x, y in covered(s, 1 << 30, window)] for s in col(b, "spans").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(col(b, c) for c in names), pa.array(spans, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))], names=[*names, "spans"])
+            yield make(b, [covered(s, 1 << 30, window) for s in col(b, "spans").to_pylist()])
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in names) + ", spans array<struct<first:int,last:int>>"
-    return texts.join(flags.hint("shuffle_hash"), ["k1", "k2"], "left").select(*names, "spans").mapInArrow(run, schema)
+    return texts.join(flags.hint("shuffle_hash"), ["k1", "k2"], "left").select("doc_id", "text", *more, "spans").mapInArrow(run, schema)
 
 
-def without(text: bytes, spans: list[dict]) -> bytes:
+def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     """The bytes outside the spans."""
     at, parts = 0, []
-    for s in spans:
-        parts.append(text[at : s["first"]])
-        at = s["last"]
+    for first, last in spans:
+        parts.append(text[at:first])
+        at = last
     return b"".join([*parts, text[at:]])
 
 
 def remove_repeated_bytes(docs: DataFrame, *, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept: the other bytes, joined (binary, since a cut may split a character)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
-            raw = [t.encode("utf-8") for t in col(b, "text").to_pylist()]
-            spans = col(b, "spans").to_pylist()
-            kept = [without(t, s) for t, s in zip(raw, spans, strict=True)]
-            counts = [[len(t) for t in raw], [len(t) - len(k) for t, k in zip(raw, kept, strict=True)], [len(s) for s in spans]]
-            yield pa.RecordBatch.from_arrays([col(b, "doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+    def make(b: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+        raw = [t.encode("utf-8") for t in col(b, "text").to_pylist()]
+        kept = [without(t, s) for t, s in zip(raw, spans, strict=True)]
+        counts = [[len(t) for t in raw], [len(t) - len(k) for t, k in zip(raw, kept, strict=True)], [len(s) for s in spans]]
+        return pa.RecordBatch.from_arrays([col(b, "doc_id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return find_repeated_bytes(docs, window=window, gram=gram).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_repeated_bytes(docs, make, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary", window=window, gram=gram)

@@ -111,7 +111,9 @@ def test_near_duplicates_lose_no_link(spark, block, monkeypatch):
 def test_intersections():
     rng = np.random.default_rng(2)
     sets = [np.unique(rng.integers(0, 9000, rng.integers(1, 6000)).astype(np.uint64)) for _ in range(12)]
-    assert minhash.intersections(sets).tolist() == [[len(np.intersect1d(a, b)) if i != j else minhash.intersections(sets)[i, i] for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    got = minhash.intersections(sets[:5], sets[3:])
+    assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sets[3:]] for a in sets[:5]]
+    assert minhash.intersections([np.array([1], np.uint64)], [np.array([2], np.uint64)]).tolist() == [[0]]
 
 
 def test_components(spark):
