@@ -136,6 +136,24 @@ def intersections(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def promising(percent: int, least: int):
+    """The documents of a cell that agree with one of another component in at least ``least`` coordinates."""
+
+    def run(cell: pa.Table) -> pa.Table:
+        part, outer, n = (cell[c].to_numpy() for c in ("part", "outer", "n"))
+        signature = np.frombuffer(b"".join(cell["signature"].to_pylist()), np.uint32).reshape(-1, COORDINATES)
+        a, b = np.flatnonzero(outer), np.flatnonzero(~outer)
+        agree = np.zeros((len(a), len(b)), np.uint8)
+        for k in range(COORDINATES):
+            agree += signature[a, k][:, None] == signature[b, k][None, :]
+        small, large = np.minimum(n[a][:, None], n[b][None, :]), np.maximum(n[a][:, None], n[b][None, :])
+        pairs = (agree >= least) & (100 * small >= percent * large) & (part[a][:, None] != part[b][None, :])
+        keep = pa.array(np.concatenate([a[pairs.any(1)], b[pairs.any(0)]]))
+        return pa.table({c: cell[c].combine_chunks().take(keep) for c in ("home", "node", "part")})
+
+    return run
+
+
 def across(percent: int):
     """One link (u, v) for each pair of components that the documents of a cell link."""
 
@@ -205,15 +223,20 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     here = lists.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
     mixed = here.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.min_by("part", order).alias("home")).where("low <> high").select("key", "home")
     members = spill(spark, here.join(mixed, "key").select("home", "node", "part").distinct())
-    count = lambda rows: F.greatest(F.lit(1), F.ceil(F.count(rows) / BLOCK)).cast("int")
-    sizes = members.groupBy("home").agg(count(F.lit(1)).alias("all"), count(F.when(F.col("part") != F.col("home"), 1)).alias("out"))
-    placed = members.join(sizes, "home")
-    deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), n).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outer = placed.where("part <> home").select("home", "node", "part", F.lit(True).alias("outer"), deal(3, F.col("out")).alias("i"), spread("all").alias("j"))
-    inner = placed.select("home", "node", "part", F.lit(False).alias("outer"), deal(4, F.col("all")).alias("j"), spread("out").alias("i"))
-    cells = outer.unionByName(inner).join(sets, "node")
-    more = spill(spark, cells.groupBy("home", "i", "j").applyInArrow(across(percent), "u long, v long"))
+
+    def cells(members: DataFrame, values: DataFrame) -> DataFrame:
+        """Blocks of the members outside their home (outer) against blocks of all its members."""
+        count = lambda rows: F.greatest(F.lit(1), F.ceil(F.count(rows) / BLOCK)).cast("int")
+        sizes = members.groupBy("home").agg(count(F.lit(1)).alias("all"), count(F.when(F.col("part") != F.col("home"), 1)).alias("out"))
+        placed = members.join(sizes, "home")
+        deal = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "node"), n).cast("int")
+        spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        outer = placed.where("part <> home").select("home", "node", "part", F.lit(True).alias("outer"), deal(3, F.col("out")).alias("i"), spread("all").alias("j"))
+        inner = placed.select("home", "node", "part", F.lit(False).alias("outer"), deal(4, F.col("all")).alias("j"), spread("out").alias("i"))
+        return outer.unionByName(inner).join(values, "node").groupBy("home", "i", "j")
+
+    close = spill(spark, cells(members, known).applyInArrow(promising(percent, MATCHES), "home long, node long, part long").distinct())
+    more = spill(spark, cells(close, sets).applyInArrow(across(percent), "u long, v long"))
     labels = spill(spark, components(links.unionByName(more)))
 
     parts = reps.join(labels, "node", "left").select(*kind, "least", F.coalesce("component", "node").alias("part"))
