@@ -36,6 +36,8 @@ def prepare(spark: SparkSession) -> None:
     if root not in known:
         env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), root) if x)
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    # shuffle files go when their query ends: what later steps need is in written tables
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     if spark.conf.get(rows) == "10000":  # Spark's default; texts make such batches large
         spark.conf.set(rows, "1000")
 

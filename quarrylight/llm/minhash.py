@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import U, Rolling, buffers, byte_values, col, keyed, mix, slices, spill, word_bounds
 from .components import components
 
-COORDINATES, MATCHES, BLOCK = 48, 24, 512
+COORDINATES, MATCHES, BLOCK = 48, 24, 1024
 LOWERED = byte_values(5)
 LOWERED[65:91] = LOWERED[97:123]  # A-Z count as a-z
 SEEDS = mix(np.arange(COORDINATES, dtype=np.uint64) + U(77))
@@ -196,15 +196,20 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     # all COORDINATES keys in ascending frequency would have a prefix of COORDINATES - MATCHES + 1; the single ones come first
     prefix = ranked.where(F.size("keys") >= MATCHES).select("node", F.explode(F.expr(f"transform(slice(keys, 1, size(keys) - {MATCHES - 1}), x -> x.key)")).alias("key"))
     lists = spill(spark, prefix)
-    nodes = lists.select("node").distinct()
-    chosen = reps.join(nodes, "node", "left_semi").select("node", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"))
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # repeated rows come to one task
         for b in slices(batches, "text"):
+            new = [i for i, x in enumerate(col(b, "node").to_pylist()) if x not in seen and not seen.add(x)]
+            b = b.take(pa.array(new, pa.int64()))
             flat, at = shingle_sets(col(b, "text"), size)
             yield pa.RecordBatch.from_arrays([col(b, "node"), pa.array([flat[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["node", "shingles"])
 
-    sets = spill(spark, keyed(docs).select("k1", "k2", "text").join(chosen.hint("shuffle_hash"), ["k1", "k2"]).select("node", "text").mapInArrow(full, "node long, shingles binary").dropDuplicates(["node"]))
+    def full_sets(nodes: DataFrame) -> DataFrame:
+        """node, shingles of the given nodes, from their texts."""
+        chosen = reps.join(nodes.distinct(), "node", "left_semi").select("node", F.col("at.k1").alias("k1"), F.col("at.k2").alias("k2"))
+        return spill(spark, keyed(docs).select("k1", "k2", "text").join(chosen.hint("shuffle_hash"), ["k1", "k2"]).select("node", "text").mapInArrow(full, "node long, shingles binary"))
+
     known = reps.select("node", "signature", "n")
 
     # everyone with one hub: of its lists' least members by a fixed hash, the least
@@ -214,6 +219,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     for end in ("u", "v"):
         pairs = pairs.join(known.select(F.col("node").alias(end), F.col("signature").alias(f"sig_{end}"), F.col("n").alias(f"n_{end}")), end)
     close = spill(spark, pairs.where(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)").select("u", "v", "sig_u", "sig_v").mapInArrow(matching(MATCHES), "u long, v long"))
+    sets = full_sets(close.select(F.col("u").alias("node")).union(close.select("v")))
     for end in ("u", "v"):
         close = close.join(sets.select(F.col("node").alias(end), F.col("shingles").alias(f"set_{end}")), end)
     links = spill(spark, close.mapInArrow(alike(percent), "u long, v long"))
@@ -236,7 +242,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
         return outer.unionByName(inner).join(values, "node").groupBy("home", "i", "j")
 
     close = spill(spark, cells(members, known).applyInArrow(promising(percent, MATCHES), "home long, node long, part long").distinct())
-    more = spill(spark, cells(close, sets).applyInArrow(across(percent), "u long, v long"))
+    more = spill(spark, cells(close, full_sets(close.select("node"))).applyInArrow(across(percent), "u long, v long"))
     labels = spill(spark, components(links.unionByName(more)))
 
     parts = reps.join(labels, "node", "left").select(*kind, "least", F.coalesce("component", "node").alias("part"))
