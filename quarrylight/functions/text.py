@@ -70,3 +70,90 @@ def dot(a: Column, b: Column) -> Column:
     """Sum of products, 0 if the lengths differ."""
     total = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return F.when(F.size(a) == F.size(b), total).otherwise(0.0)
+
+
+def trimmed(x: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
+def lines(x: Column) -> Column:
+    return F.filter(F.transform(F.split(x, r"\r?\n"), trimmed), lambda t: t != "")
+
+
+def count_matches(x: Column, patterns: tuple[str, ...]) -> Column:
+    """Matches of each pattern, added up; overlaps between patterns count for both."""
+    return sum((F.regexp_count(x, F.lit(p)) for p in patterns), F.lit(0))
+
+
+def match_tokens(x: Column, keep: int = 64, least: int = 3) -> Column:
+    """The first ``keep`` tokens of ``least`` characters or more; hyphens belong to a token."""
+    return F.slice(F.filter(F.split(F.lower(x), r"[^\p{L}\p{N}_-]+"), lambda t: F.length(t) >= least), 1, keep)
+
+
+def interesting_phrase(x: Column, words: int = 3) -> Column:
+    """Longest part between commas and line ends with ``words`` words or more, the first of equals; null if none."""
+    parts = F.filter(F.transform(F.split(x, r"[,\n]"), trimmed), lambda p: F.size(F.split(p, r"\s+")) >= words)
+    return F.aggregate(parts, F.lit(None).cast("string"), lambda best, p: F.when(best.isNull() | (F.length(p) > F.length(best)), p).otherwise(best))
+
+
+def truncate_line(x: Column, n: int) -> Column:
+    flat = trimmed(F.regexp_replace(x, r"\s+", " "))
+    return F.when(F.length(flat) > n, F.concat(F.rtrim(F.substring(flat, 1, n - 3)), F.lit("..."))).otherwise(flat)
+
+
+def ascii_slug(x: Column, limit: int = 80) -> Column:
+    return F.substring(F.regexp_replace(F.regexp_replace(F.lower(trimmed(x)), "[^a-z0-9]+", "-"), "^-+|-+$", ""), 1, limit)
+
+
+def domain_slug(x: Column) -> Column:
+    dashed = F.regexp_replace(F.lower(trimmed(x)), r"[\s/]+", "-")
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(dashed, "[^a-z0-9_-]", ""), "-+", "-"), "^-|-$", "")
+
+
+def symbol_name(x: Column) -> Column:
+    """The last part after a dot or colon, without parentheses."""
+    return F.regexp_replace(F.regexp_replace(trimmed(x), "^.*[.:]", ""), "[()]", "")
+
+
+def subject(x: Column) -> Column:
+    return F.lower(F.regexp_replace(x, r"[^\w/-]", ""))
+
+
+def unique_strings(xs: Column) -> Column:
+    """Trimmed, slashes unified, empty ones dropped; of strings that differ by case only the first stays."""
+    clean = F.filter(F.transform(xs, lambda s: F.replace(trimmed(s), F.lit("\\"), F.lit("/"))), lambda s: s != "")
+    fresh = lambda out, s: F.when(F.exists(out, lambda o: F.lower(o) == F.lower(s)), out).otherwise(F.concat(out, F.array(s)))
+    return F.aggregate(clean, F.array().cast("array<string>"), fresh)
+
+
+def parent_bucket(path: Column) -> Column:
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    return F.when(F.size(parts) > 1, F.element_at(parts, -2)).otherwise(F.lit("."))
+
+
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/"), -1)
+
+
+def path_tail(path: Column, parts: int = 2) -> Column:
+    return F.substring_index(F.replace(path, F.lit("\\"), F.lit("/")), "/", -parts)
+
+
+#: Languages by file extension.
+LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "py": "python", "go": "go", "rs": "rust", "java": "java", "json": "json", "md": "markdown", "yaml": "yaml", "yml": "yaml", "toml": "toml", "html": "html", "css": "css", "sql": "sql", "sh": "shell"}
+
+
+def language_of(path: Column) -> Column:
+    """Language by extension, ``text`` for others."""
+    table = F.create_map(*(F.lit(x) for pair in LANGUAGES.items() for x in pair))
+    ext = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+    return F.coalesce(F.try_element_at(table, ext), F.lit("text"))
+
+
+def content_hash(x: Column) -> Column:
+    return F.sha1(normalize_embedding_text(x).cast("binary"))
+
+
+def freshness_label(age_hours: Column) -> Column:
+    return F.when(age_hours <= 72, "fresh").when(age_hours <= 336, "recent").otherwise("stale")

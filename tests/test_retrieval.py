@@ -8,7 +8,7 @@ import pytest
 
 from quarrylight.functions import text as T
 from quarrylight.operators import governance as G
-from quarrylight.plans.queries import QUERIES, SQL
+from quarrylight.plans.registry import QUERIES, SQL
 
 
 def plain(frame):
