@@ -1,6 +1,6 @@
 """All registered queries of the engine and their SQL."""
 
-from . import planning, queries
+from . import planning, queries, upkeep
 
-QUERIES = queries.QUERIES | planning.QUERIES
-SQL = queries.SQL | planning.SQL
+QUERIES = queries.QUERIES | planning.QUERIES | upkeep.QUERIES
+SQL = queries.SQL | planning.SQL | upkeep.SQL
