@@ -64,3 +64,8 @@ def upsert_latest(old: DataFrame, new: DataFrame, key: str, at: str) -> DataFram
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
     row = F.struct(*old.columns)
     return both.groupBy(key).agg(F.max_by(row, F.struct(at, "_new")).alias("r")).select("r.*")
+
+
+def first_arrivals(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
+    """The row of each key that arrived first; null keys are one key."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), arrival).alias("r")).select("r.*")

@@ -123,3 +123,27 @@ def batch_step(items: int = 64, tokens: int = 6000) -> Step:
 def request_batches(texts: DataFrame, key: str, *, items: int = 64, tokens: int = 6000) -> DataFrame:
     """Batches of each flush ``key`` in order of ``seq``: key, seq, batch."""
     return fold(texts, [key], ["seq"], batch_step(items, tokens), f"{key} long, seq long, batch long")
+
+
+def on_stream(rows: DataFrame, keys: list[str], order: list[str], step: Step, schema: str, state: str) -> DataFrame:
+    """The same steps on a stream: the state (columns ``state``) is kept by key between batches.
+
+    Rows of one batch are stepped through in ``order``; batches follow each other as they arrive, so a row
+    that comes later than its time is taken where it arrives. Windows stay open until a row closes them.
+    """
+    names = [p.strip().split()[0] for p in schema.split(",")]
+
+    def run(key, frames, held):
+        kept = tuple(held.get) if held.exists else None
+        out = []
+        for row in pd.concat(list(frames)).sort_values(order).itertuples(index=False):
+            kept, values = step(kept, row)
+            if values is not None:
+                out.append((*key, *values))
+        if kept is None:
+            held.remove()
+        else:
+            held.update(tuple(kept))
+        yield pd.DataFrame(out, columns=names)
+
+    return rows.groupBy(*keys).applyInPandasWithState(run, schema, state, "append", "NoTimeout")

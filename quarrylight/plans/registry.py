@@ -1,6 +1,6 @@
 """All registered queries of the engine and their SQL."""
 
-from . import planning, queries, upkeep
+from . import planning, queries, records, upkeep
 
-QUERIES = queries.QUERIES | planning.QUERIES | upkeep.QUERIES
-SQL = queries.SQL | planning.SQL | upkeep.SQL
+QUERIES = queries.QUERIES | planning.QUERIES | upkeep.QUERIES | records.QUERIES
+SQL = queries.SQL | planning.SQL | upkeep.SQL | records.SQL

@@ -16,7 +16,7 @@ def plain(frame):
     return sorted(repr([float(f"{x:.9g}") if isinstance(x, float) else x for x in map(lambda v: v.item() if hasattr(v, "item") else v, r)]) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_matches_its_sql(spark, sf, name):
     con = duckdb.connect()
     for f in glob.glob(f"{sf}/*.parquet"):
