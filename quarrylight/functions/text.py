@@ -13,7 +13,8 @@ def tokenize(x: Column) -> Column:
 
 def coverage(query: Column, content: Column) -> Column:
     """Share of the query's tokens, repeats counted, that occur among the content's; 0 for an empty query."""
-    hit = F.size(F.filter(query, lambda t: F.array_contains(content, t)))
+    # bound as a lambda's variable, or the content would be made anew for each of the query's tokens
+    hit = F.transform(F.array(content), lambda c: F.size(F.filter(query, lambda t: F.array_contains(c, t))))[0]
     return F.when(F.size(query) > 0, hit / F.size(query)).otherwise(0.0)
 
 

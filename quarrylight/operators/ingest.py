@@ -102,28 +102,47 @@ def symbol_for_chunk(chunks: DataFrame, spans: DataFrame) -> DataFrame:
     return both.withColumn("symbol", F.last("name", ignorenulls=True).over(w)).where("kind = 0").select("doc_id", "chunk_index", "symbol")
 
 
-def hash_counts(texts: pd.Series, dims: int) -> np.ndarray:
-    """Signed counts of each text: every byte of each token's SHA-256 adds the next byte's sign at its place."""
-    memo: dict[str, np.ndarray] = {}
-    out = np.zeros((len(texts), dims))
-    for i, text in enumerate(texts):
-        for token in (text or "").lower().split():
-            v = memo.get(token)
-            if v is None:
-                raw = np.frombuffer(hashlib.sha256(token.encode()).digest(), np.uint8)
-                v = np.bincount(raw % dims, weights=np.where(np.roll(raw, -1) % 2 == 0, 1.0, -1.0), minlength=dims)
-                if len(memo) < 50_000:
-                    memo[token] = v
-            out[i] += v
-    return out
+class HashCounts:
+    """Signed counts of texts: every byte of each token's SHA-256 adds the next byte's sign at its place.
+
+    Tokens met before are kept, about 50,000 of them; a text's tokens are added up in blocks.
+    """
+
+    def __init__(self, dims: int, keep: int = 50_000, block: int = 8192):
+        self.dims, self.keep, self.block = dims, keep, block
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.rows = np.zeros((1024, self.dims), np.int16)
+
+    def _add(self, token: str) -> int:
+        raw = np.frombuffer(hashlib.sha256(token.encode()).digest(), np.uint8)
+        at = self.place[token] = len(self.place)
+        if at == len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+        np.add.at(self.rows[at], raw % self.dims, np.where(np.roll(raw, -1) % 2 == 0, 1, -1).astype(np.int16))
+        return at
+
+    def __call__(self, texts: pd.Series) -> np.ndarray:
+        out = np.zeros((len(texts), self.dims), np.int64)
+        for i, text in enumerate(texts):
+            tokens = (text or "").lower().split()
+            for k in range(0, len(tokens), self.block):
+                if len(self.place) > self.keep:
+                    self.clear()
+                ids = [at if (at := self.place.get(t)) is not None else self._add(t) for t in tokens[k : k + self.block]]
+                out[i] += self.rows[ids].sum(axis=0, dtype=np.int64)
+        return out
 
 
 def hash_embedding(docs: DataFrame, dims: int = 64, text: str = "text") -> DataFrame:
     """doc_id, embedding (length 1, or all zero without tokens), raw (the signed counts)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = HashCounts(dims)
         for f in frames:
-            n = hash_counts(f[text], dims)
+            n = counts(f[text]).astype(np.float64)
             size = np.sqrt((n * n).sum(axis=1, keepdims=True))
             yield pd.DataFrame({"doc_id": f["doc_id"], "embedding": list(np.divide(n, size, out=n.copy(), where=size > 0)), "raw": list(n.astype(np.int64))})
 

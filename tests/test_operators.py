@@ -56,8 +56,11 @@ def test_symbol_of_chunk_against_brute_force(spark):
 
 
 def test_hash_embedding_edges():
-    n = I.hash_counts(pd.Series(["a a b", "", None, "A"]), 16)
-    assert n[1].tolist() == n[2].tolist() == [0.0] * 16 and (n[0] == 2 * n[3] + I.hash_counts(pd.Series(["b"]), 16)[0]).all()
+    counts = I.HashCounts(16)
+    n = counts(pd.Series(["a a b", "", None, "A"]))
+    assert n[1].tolist() == n[2].tolist() == [0] * 16 and (n[0] == 2 * n[3] + counts(pd.Series(["b"]))[0]).all()
+    small = I.HashCounts(16, keep=1, block=1)  # forgets all the time
+    assert (small(pd.Series(["a a b", "", None, "A"])) == n).all()
 
 
 def test_debounce_windows(spark):
