@@ -158,3 +158,13 @@ def content_hash(x: Column) -> Column:
 
 def freshness_label(age_hours: Column) -> Column:
     return F.when(age_hours <= 72, "fresh").when(age_hours <= 336, "recent").otherwise("stale")
+
+
+#: Extensions that make a token a file mention.
+FILE_EXTENSIONS = ("ts", "tsx", "js", "jsx", "mjs", "cjs", "py", "go", "rs", "java", "json", "md", "yaml", "yml", "toml", "html", "css", "sql", "sh", "txt")
+
+
+def file_mentions(x: Column) -> Column:
+    """Distinct paths with a known extension that a text names, slashes unified, in order."""
+    found = F.regexp_extract_all(x, F.lit(r"([A-Za-z0-9_./\\-]+\.(?:" + "|".join(FILE_EXTENSIONS) + r"))(?![A-Za-z0-9_])"), 1)
+    return F.array_distinct(F.transform(found, lambda p: F.replace(p, F.lit("\\"), F.lit("/"))))

@@ -62,3 +62,10 @@ def test_checkpoint_records(spark):
     rows = [('{"id":"1","title":" t ","session_goal":"g","current_status":"s","next_steps":[" A","a","","b"]}',), ('{"id":"2","title":"t"}',), ("not json",), (None,)]
     got = R.read_checkpoints(spark.createDataFrame(rows, "json string")).collect()
     assert [(r.id, r.next_steps, r.blockers) for r in got] == [("1", ["A", "b"], [])]
+
+
+def test_file_mentions(spark):
+    from quarrylight.functions import text as T
+
+    df = spark.createDataFrame([("see src\\app\\a.ts, then src/app/a.ts and (b.py). not c.tsv",), ("",)], "t string")
+    assert [r[0] for r in df.select(T.file_mentions(F.col("t"))).collect()] == [["src/app/a.ts", "b.py"], []]
