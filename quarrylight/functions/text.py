@@ -168,3 +168,14 @@ def file_mentions(x: Column) -> Column:
     """Distinct paths with a known extension that a text names, slashes unified, in order."""
     found = F.regexp_extract_all(x, F.lit(r"([A-Za-z0-9_./\\-]+\.(?:" + "|".join(FILE_EXTENSIONS) + r"))(?![A-Za-z0-9_])"), 1)
     return F.array_distinct(F.transform(found, lambda p: F.replace(p, F.lit("\\"), F.lit("/"))))
+
+
+#: Patterns of symbols in diagnostics, and words that are none.
+MENTIONS = (r"\bat\s+([A-Za-z_][$\w.]*)\s*\(", r"(?i)\b(?:function|method|symbol|member)\s+([A-Za-z_][$\w.]*)", r"(?i)\b([A-Za-z_][$\w]*)\s+is not defined\b", r"\bReferenceError:\s+([A-Za-z_][$\w]*)\b")
+NO_SYMBOLS = ("if", "for", "while", "switch", "catch", "return", "async")
+
+
+def symbol_mentions(x: Column, keep: int = 5) -> Column:
+    """The first ``keep`` distinct symbols that a diagnostic names, letter case aside."""
+    found = F.concat(*(F.transform(F.regexp_extract_all(x, F.lit(p), 1), symbol_name) for p in MENTIONS))
+    return F.slice(unique_strings(F.filter(found, lambda s: ~F.lower(s).isin(*NO_SYMBOLS))), 1, keep)

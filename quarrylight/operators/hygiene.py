@@ -138,3 +138,18 @@ def resolutions(clusters: DataFrame, least: float = 0.68, k: int = 6) -> DataFra
     plain = F.trim(F.regexp_replace("subject", "[-_/]+", " "))
     title = F.when(plain != "", F.concat(F.lit("Canonical "), plain, F.lit(" decision"))).otherwise("Canonical conflict resolution decision")
     return clusters.where(F.col("score") >= least).select("subject", title.alias("title"), T.rounded(F.col("score") + 0.04).alias("score")).orderBy(F.desc("score"), "subject").limit(k)
+
+
+def follow_ups(plan: DataFrame, asked: DataFrame, sources: DataFrame, now_ms: int, days: int = 45) -> DataFrame:
+    """What to do after a resolution: plan_id, expected, disabled, ready (disabled and old), verified, action.
+
+    ``plan``: plan_id, canonical_id; ``asked``: plan_id, doc_id of what it supersedes. review: there is no
+    canonical decision; disable: something superseded is still active; archive: all of it is disabled and
+    old; else keep_both.
+    """
+    s = sources.select("doc_id", "source_kind", "is_disabled", "updated_at")
+    own = asked.distinct().join(s, "doc_id").groupBy("plan_id").agg(F.count(F.lit(1)).alias("expected"), F.count_if("is_disabled").alias("disabled"), F.count_if(F.col("is_disabled") & _stale(days, now_ms)).alias("ready"))
+    there = s.where("source_kind = 'decision'").select(F.col("doc_id").alias("canonical_id"), F.lit(True).alias("there"))
+    out = plan.join(own, "plan_id", "left").join(there, "canonical_id", "left").fillna(0, ["expected", "disabled", "ready"]).fillna(False, ["there"])
+    action = F.when(~F.col("there"), "review").when(F.col("expected") > F.col("disabled"), "disable").when((F.col("expected") > 0) & (F.col("ready") == F.col("expected")), "archive").otherwise("keep_both")
+    return out.select("plan_id", "expected", "disabled", "ready", (F.col("there") & (F.col("expected") == F.col("disabled"))).alias("verified"), action.alias("action"))

@@ -76,6 +76,19 @@ def plan_validation(spark, d):
     return H.validate_plan(plan, o, _sources(spark, d)).select("plan_id", "found", "missing", "disabled", "executable", F.concat_ws("|", "warnings").alias("warnings"))
 
 
+def resolution_follow_ups(spark, d):
+    """For each customer a canonical note with its own number, which supersedes its orders' numbers."""
+    o = D.table(spark, d, "orders").select(F.col("o_custkey").alias("plan_id"), F.col("o_orderkey").alias("doc_id"))
+    plan = D.table(spark, d, "customer").select(F.col("c_custkey").alias("plan_id"), F.col("c_custkey").alias("canonical_id"))
+    return H.follow_ups(plan, o, _sources(spark, d), NOW)
+
+
+def symbol_mentions(spark, d):
+    cues = ("at app.run (x)", "function foo and method Foo.bar()", "baz is not defined", "nothing")
+    x = F.concat_ws(" ", "text", K.cue(F.col("conv_id") + F.col("turn"), cues))
+    return D.table(spark, d, "conversations").select("conv_id", "turn", F.concat_ws(",", T.symbol_mentions(x)).alias("symbols"))
+
+
 def _graph_docs(spark, d):
     return D.chunks(spark, d).select("doc_id", "path", "module_name", "language", "branch_name", F.array("source_kind").alias("tags"), F.array(F.concat(F.lit("app.fn_"), (F.col("doc_id") % 40).cast("string"), F.lit("()"))).alias("symbols"))
 
@@ -201,6 +214,8 @@ SQL = {
     "consolidation_groups": f"WITH RECURSIVE {_CHUNKS}, k AS (SELECT doc_id, {_MT.format('title')} AS t, {_MT.format('content')} AS b, language AS parent, source_kind, memory_tier, updated_at FROM chunks), c AS (SELECT min(doc_id) AS class_id, max(updated_at) AS tm, t, b, parent, source_kind, memory_tier FROM k GROUP BY ALL), m AS (SELECT doc_id, class_id FROM k JOIN c USING (t, b, parent, source_kind, memory_tier)), l AS (SELECT x.class_id AS a, y.class_id AS b, {_r('(' + _JAC.format('x.t', 'y.t') + ') * 0.36::DOUBLE + (' + _JAC.format('x.b', 'y.b') + ') * 0.34::DOUBLE + CASE WHEN x.parent = y.parent THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN x.source_kind = y.source_kind THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN x.memory_tier = y.memory_tier THEN 0.04::DOUBLE ELSE 0 END + greatest(0.0::DOUBLE, 1 - abs(x.tm - y.tm) / 86400000.0::DOUBLE / 90) * 0.06::DOUBLE')} AS score FROM c x JOIN c y ON x.class_id < y.class_id), link AS (SELECT * FROM l WHERE score >= 0.8::DOUBLE), e AS (SELECT a AS u, b AS v FROM link UNION SELECT b, a FROM link), r AS (SELECT u, u AS v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v), comp AS (SELECT u, min(v) AS component FROM r GROUP BY 1), pl AS (SELECT doc_id, coalesce(component, class_id) AS group_id FROM m LEFT JOIN comp ON u = class_id), me AS (SELECT component AS group_id, {_r('avg(score)')} AS group_score FROM link JOIN comp ON u = a GROUP BY 1), sz AS (SELECT group_id, count(*) AS n FROM pl GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, group_id, n, group_score FROM pl JOIN sz USING (group_id) LEFT JOIN me USING (group_id)",
     "conflict_resolutions": rf"WITH {_DEC}, {_CL}, s AS (SELECT subject, doc_id, max((pol = 'for')::INT) AS f, max((pol = 'against')::INT) AS a FROM claims GROUP BY 1, 2), n AS (SELECT subject, count(*) AS docs, sum(f) AS f, sum(a) AS a, sum(f * a) AS b FROM s GROUP BY 1), p AS (SELECT subject, docs, (f * a - b - b * (b - 1) // 2)::BIGINT AS pairs FROM n WHERE f > 0 AND a > 0) SELECT subject, 'Canonical ' || trim(regexp_replace(subject, '[-_/]+', ' ', 'g')) || ' decision' AS title, {_r(_r('least(1.0::DOUBLE, 0.836::DOUBLE + (least(0.12::DOUBLE, greatest(0, docs - 2) * 0.05::DOUBLE) + least(0.06::DOUBLE, greatest(0, pairs - 1) * 0.02::DOUBLE)))') + ' + 0.04::DOUBLE')} AS score FROM p WHERE pairs > 0 ORDER BY score DESC, subject LIMIT 6",
     "plan_validation": f"WITH {_SRC}, n AS (SELECT o_custkey AS plan_id, count(s.doc_id) AS found, count(*) FILTER (s.doc_id IS NULL) AS missing, count(*) FILTER (is_disabled) AS disabled, count(*) FILTER (source_kind <> 'decision') AS others FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) o LEFT JOIN src s ON s.doc_id = o_orderkey GROUP BY 1), p AS (SELECT c_custkey AS plan_id, coalesce(found, 0) AS found, coalesce(missing, 0) AS missing, coalesce(disabled, 0) AS disabled, coalesce(others, 0) AS others, c_acctbal FROM customer LEFT JOIN n ON plan_id = c_custkey), w AS (SELECT *, list_filter([CASE WHEN found < 2 THEN 'too few sources' END, CASE WHEN missing > 0 THEN 'missing sources' END, CASE WHEN others > 0 THEN 'not all are decisions' END, CASE WHEN plan_id % 4 = 0 THEN 'empty title' END, CASE WHEN disabled > 0 THEN 'disabled sources' END, CASE WHEN NOT c_acctbal > 0 THEN 'inputs stay active' END], lambda x: x IS NOT NULL) AS l FROM p) SELECT plan_id, found, missing, disabled, len(l) = 0 AS executable, array_to_string(l, '|') AS warnings FROM w",
+    "resolution_follow_ups": f"WITH {_SRC}, n AS (SELECT o_custkey AS plan_id, count(*) AS expected, count(*) FILTER (is_disabled) AS disabled, count(*) FILTER (is_disabled AND updated_at <= {NOW - 45 * DAY}) AS ready FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) o JOIN src s ON s.doc_id = o_orderkey GROUP BY 1), p AS (SELECT c_custkey AS plan_id, coalesce(expected, 0) AS expected, coalesce(disabled, 0) AS disabled, coalesce(ready, 0) AS ready, c_custkey IN (SELECT doc_id FROM src WHERE source_kind = 'decision') AS there FROM customer LEFT JOIN n ON plan_id = c_custkey) SELECT plan_id, expected, disabled, ready, there AND expected = disabled AS verified, CASE WHEN NOT there THEN 'review' WHEN expected > disabled THEN 'disable' WHEN expected > 0 AND ready = expected THEN 'archive' ELSE 'keep_both' END AS action FROM p",
+    "symbol_mentions": "SELECT conv_id, turn, (['run','foo,bar','baz',''])[(conv_id + turn) % 4 + 1] AS symbols FROM conversations",
     "edge_build": f"WITH {_EDGES} SELECT edge_type, target_key, count(*) AS n, {_r('sum(weight)')} AS weight FROM edges GROUP BY 1, 2",
     "relation_scores": f"WITH {_EDGES}, h AS (SELECT * FROM (VALUES (1, 'tag', 'decision'), (1, 'symbol', 'decision'), (1, 'tag', 'about'), (1, 'symbol', 'about'), (1, 'tag', 'manual'), (1, 'symbol', 'manual'), (1, 'tag', 'tables'), (1, 'symbol', 'tables'), (1, 'module', 'web'), (1, 'symbol', 'fn_7'), (1, 'language', 'en'), (2, 'tag', 'diary'), (2, 'symbol', 'diary'), (2, 'branch', 'feature/fr'), (2, 'path', 'md')) t(query_id, edge_type, target_key)), s AS (SELECT query_id::BIGINT AS query_id, doc_id, sum(weight) AS s, count(*) AS hits FROM edges JOIN h USING (edge_type, target_key) GROUP BY 1, 2) SELECT query_id, doc_id, {_r('s')} AS score, hits, {_r('least(0.08::DOUBLE, ' + _r('s') + ' * 0.08::DOUBLE * 0.4::DOUBLE)')} AS boost FROM s",
     "graph_two_hops": f"WITH {_EDGES}, ed AS (SELECT * FROM edges WHERE edge_type <> 'module'), one AS (SELECT b.doc_id, {_r('sum(a.weight * b.weight)')} AS score FROM ed a JOIN ed b USING (edge_type, target_key) WHERE edge_type IN ('symbol','tag','branch') AND a.doc_id IN (0, 1) AND b.doc_id NOT IN (0, 1) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 4), two AS (SELECT b.doc_id, {_r('sum(a.weight * b.weight)')} AS score FROM ed a JOIN ed b USING (edge_type, target_key) WHERE edge_type IN ('symbol','tag') AND a.doc_id IN (SELECT doc_id FROM one) AND b.doc_id NOT IN (0, 1) AND b.doc_id NOT IN (SELECT doc_id FROM one) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 3) SELECT doc_id, 1 AS hop, score, {_r('least(0.18::DOUBLE, score * 0.08::DOUBLE)')} AS boost FROM one UNION ALL SELECT doc_id, 2, score, {_r('least(0.11::DOUBLE, score * 0.045::DOUBLE)')} FROM two",
@@ -222,4 +237,4 @@ SQL = {
 }
 _WHEN = "'recent changes','what came today','yesterday''s notes','last week','this week','last 12 days','nothing','近3天'"
 SQL["query_time_windows"] = rf"WITH q AS (SELECT conv_id, turn, lower(text || ' ' || ([{_WHEN}])[(conv_id + turn) % 8 + 1]) AS q FROM conversations), n AS (SELECT *, {NOW} - {NOW} % {DAY} AS today, regexp_extract(q, '(?:近|last\s+)(\d+)\s*(?:天|days?)', 1) AS n FROM q) SELECT conv_id, turn, CASE WHEN regexp_matches(q, '\brecent\b|最近') THEN {NOW - 14 * DAY} WHEN regexp_matches(q, '\btoday\b|今天') THEN today WHEN regexp_matches(q, '\byesterday\b|昨天') THEN today - {DAY} WHEN regexp_matches(q, '\blast week\b|上周') THEN {NOW - 7 * DAY} WHEN regexp_matches(q, '\bthis week\b|本周') THEN {NOW - 6 * DAY} WHEN n <> '' THEN {NOW} - n::BIGINT * {DAY} ELSE 0 END AS since, CASE WHEN NOT regexp_matches(q, '\brecent\b|最近|\btoday\b|今天') AND regexp_matches(q, '\byesterday\b|昨天') THEN today ELSE 0 END AS until FROM n"
-QUERIES = {f.__name__: f for f in (source_rollup, health_summary, stale_decisions, archive_plan, metadata_patch, cleanup_actions, consolidation_groups, conflict_resolutions, plan_validation, edge_build, relation_scores, graph_two_hops, part_components, scan_changes, replace_documents, disable_log, symbol_asof, hash_embedding, embedding_cache, query_time_windows, rerank_signals, rolling_baseline, suite_summary, domain_matches)}
+QUERIES = {f.__name__: f for f in (source_rollup, health_summary, stale_decisions, archive_plan, metadata_patch, cleanup_actions, consolidation_groups, conflict_resolutions, plan_validation, resolution_follow_ups, symbol_mentions, edge_build, relation_scores, graph_two_hops, part_components, scan_changes, replace_documents, disable_log, symbol_asof, hash_embedding, embedding_cache, query_time_windows, rerank_signals, rolling_baseline, suite_summary, domain_matches)}
