@@ -84,21 +84,30 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5, tables: int = TAB
     Vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
     without an id. Only vectors of one length are compared. A query never meets its own id; repeated
     rows of an id count once if equal. Ties go to the smaller id. Every query probes buckets with at
-    least ``k + 1`` vectors in its first table, so it finds ``k`` rows, or all where there are fewer.
+    least ``k + 1`` ids in its first table, so it finds ``k`` rows, or all where there are fewer.
     """
     spark = vectors.sparkSession
     n = partitions(spark)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null")
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: dict[int, int] = {}
+        some: dict[int, set[int]] = {}  # up to k + 1 ids of each bucket
         for b in batches:
-            for width, _, x in by_length(b):
+            for width, ids, x in by_length(b):
                 for t in range(tables):
-                    found, count = np.unique(nearest_axis(x, t), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(bucket(width, t, found)), pa.array(count)], names=["bucket", "n"])
-
-    # at most tables * 2 * width numbers for each vector length, whatever the rows
-    sizes = {r["bucket"]: r["n"] for r in rows.mapInArrow(codes, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
+                    at = bucket(width, t, nearest_axis(x, t))
+                    for i, n_rows in zip(*(v.tolist() for v in np.unique(at, return_counts=True)), strict=True):
+                        count[i] = count.get(i, 0) + n_rows
+                        own = some.setdefault(i, set())
+                        if len(own) <= k:
+                            own.update(np.unique(ids[at == i])[: k + 1 + len(own)].tolist())
+                            some[i] = set(sorted(own)[: k + 1])
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.int64()), pa.array(list(count.values()), pa.int64()), pa.array([list(some[i]) for i in count], pa.list_(pa.int64()))], names=["bucket", "n", "some"])
+
+    # at most tables * 2 * width rows for each vector length, whatever the rows
+    held_in = rows.mapInArrow(codes, "bucket long, n long, some array<long>").groupBy("bucket").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("some")))).alias("ids")).collect()
+    sizes, distinct = {r["bucket"]: r["n"] for r in held_in}, {r["bucket"]: r["ids"] for r in held_in}
     n_queries = rows.where(F.col("vec_id") % every == 0).count()
     query_blocks = max(1, -(-n_queries // QUERY_BLOCK))
 
@@ -128,7 +137,7 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5, tables: int = TAB
                             if i in sizes:
                                 rows_.append(q)
                                 probed.append(i)
-                                used, held = used + 1, held + sizes[i]
+                                used, held = used + 1, held + distinct[i]
                                 if used >= probes and held > k:
                                     break
                     probed = np.array(probed)
@@ -140,16 +149,21 @@ def search(vectors: DataFrame, *, every: int = 50, k: int = 5, tables: int = TAB
         ids, units = group["vec_id"].to_numpy(), raw / np.linalg.norm(raw, axis=1, keepdims=True)
         out: list[tuple[int, int, float]] = []
         index, own = np.flatnonzero(~asked), np.flatnonzero(asked)
+        # equal rows once; among the nearest k * most rows are then k ids, however the rows of an id repeat
+        index = np.array(list({(i, v): at for at, i, v in zip(index.tolist(), ids[index].tolist(), group["vector"].filter(pa.array(~asked)).to_pylist(), strict=True)}.values()), np.int64)
+        most = int(np.unique(ids[index], return_counts=True)[1].max()) if len(index) else 1
         for at in range(0, len(own) if len(index) else 0, 256):
             block = own[at : at + 256]
             near = units[block] @ units[index].T
             near[ids[block][:, None] == ids[index][None, :]] = -np.inf
-            least = np.partition(near, -k, axis=1)[:, -k] if len(index) > k else np.full(len(block), -np.inf)
+            least = np.partition(near, -k * most, axis=1)[:, -k * most] if len(index) > k * most else np.full(len(block), -np.inf)
             i, j = np.nonzero((near >= least[:, None] - 1e-12) & np.isfinite(near))
             a, b = raw[block[i]], raw[index[j]]
             # row by row and in one order of operations, so that equal vectors have equal scores
             score = (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
             order = np.lexsort((ids[index[j]], -score, i))
+            hit = np.stack([i[order], ids[index[j[order]]], score[order].view(np.int64)])
+            order = order[np.concatenate([[True], (hit[:, 1:] != hit[:, :-1]).any(0)])[: len(order)]]
             first = np.searchsorted(i[order], np.arange(len(block)))
             keep = order[np.arange(len(order)) - first[i[order]] < k]
             out += zip(ids[block[i[keep]]].tolist(), ids[index[j[keep]]].tolist(), score[keep].tolist(), strict=True)

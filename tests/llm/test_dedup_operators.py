@@ -173,6 +173,20 @@ def test_neighbours_with_ties_and_unusable_vectors(spark, block, monkeypatch):
     assert neighbours.search(df.where("vec_id > 1000")).count() == 0
 
 
+def test_neighbours_of_a_table_of_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(60, 3)), np.array([1.0, 2.0, 3.0]) + rng.normal(size=(60, 3)) / 100])
+    ids = np.arange(120) + 5
+    data = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True) for _ in range(6)]
+    data += [(int(i), (2 * v).tolist()) for i, v in zip(ids, x, strict=True)]  # another row of the id, with the same score
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(3)).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    assert got == {q: [(v, round(s, 9)) for v, s in best] for q, best in nearest(ids, x).items()}
+    few = [(i, v) for i, v in data if i in (50, 51, 52)] + [(53, [-1.0, 0.0, 0.0])] * 6 + [(54, [0.0, -1.0, 0.0])] * 6 + [(55, [0.0, 0.0, -1.0])] * 6
+    assert {r.vec_id for r in neighbours.search(spark.createDataFrame(few, "vec_id long, embedding array<double>"), probes=1).collect()} == {51, 52, 53, 54, 55}
+
+
 def test_hadamard_is_orthonormal():
     h = neighbours.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16)) and np.allclose(np.abs(h), 0.25)
