@@ -104,7 +104,7 @@ def relation_scores(spark, d):
 
 
 def graph_two_hops(spark, d):
-    return G.two_hops(G.build_edges(_graph_docs(spark, d)).where("edge_type <> 'module'"), spark.createDataFrame([(0,), (1,)], "doc_id long"), 4, 3)
+    return G.two_hops(G.build_edges(_graph_docs(spark, d)), spark.createDataFrame([(0,), (1,)], "doc_id long"), 4, 3)
 
 
 def part_components(spark, d):

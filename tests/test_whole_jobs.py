@@ -1,7 +1,10 @@
 """Registered queries over the whole of their tables, held against plain re-computations."""
 
-from collections import Counter
+import math
+from collections import Counter, defaultdict
 
+from quarrylight.operators import graph as G
+from quarrylight.plans import upkeep
 from quarrylight.plans.registry import QUERIES
 
 
@@ -18,3 +21,23 @@ def test_components_link_all_lineitem_rows(spark, sf):
         ra, rb = root(a), root(b)
         parent[max(ra, rb)] = min(ra, rb)
     assert {r.component: r.n for r in QUERIES["part_components"](spark, sf).collect()} == Counter(map(root, parent))
+
+
+def test_two_hops_walk_module_edges(spark, sf):
+    edges = [tuple(r) for r in G.build_edges(upkeep._graph_docs(spark, sf)).collect()]
+
+    def hop(seeds, known, types, limit):
+        own = defaultdict(float)
+        for doc, kind, key, weight in edges:
+            if doc in seeds and kind in types:
+                own[kind, key] += weight
+        score = defaultdict(float)
+        for doc, kind, key, weight in edges:
+            if doc not in known and kind in types and (kind, key) in own:
+                score[doc] += weight * own[kind, key]
+        best = sorted((-math.floor(v * 10**4 + 0.5) / 10**4, doc) for doc, v in score.items())[:limit]
+        return {doc: -v for v, doc in best}
+
+    one = hop({0, 1}, {0, 1}, {"module", "symbol", "tag", "branch"}, 4)
+    two = hop(set(one), {0, 1} | set(one), {"module", "symbol", "tag"}, 3)
+    assert {(r.doc_id, r.hop): r.score for r in QUERIES["graph_two_hops"](spark, sf).collect()} == {(d, h): v for h, got in ((1, one), (2, two)) for d, v in got.items()}
