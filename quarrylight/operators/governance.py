@@ -8,31 +8,39 @@ from pyspark.sql import functions as F
 from ..functions.text import rounded
 
 #: Phrases before a claim's subject.
-FOR, AGAINST = r"\b(?:prefer|use|adopt)\s+([\w/-]+)", r"\b(?:avoid|do not use|never use)\s+([\w/-]+)"
+FOR = r"\b(?:prefer|use|choose|adopt|enable|default to|standardize on)\s+([\w/-]+)"
+AGAINST = r"\b(?:avoid|disable|deprecate|reject|do not use|don't use|never use|not use)\s+([\w/-]+)"
 
 
 def claims(decisions: DataFrame, text: str = "content", positive: str = FOR, negative: str = AGAINST) -> DataFrame:
-    """doc_id, polarity, subject: distinct claims; a negative phrase may hold a positive one as well."""
+    """doc_id, polarity, subject, and path if there is one: distinct claims; a negative phrase may hold a positive one as well."""
     low = F.lower(F.col(text))
     found = F.concat(
         F.transform(F.regexp_extract_all(low, F.lit(positive), 1), lambda s: F.struct(F.lit("for").alias("polarity"), s.alias("subject"))),
         F.transform(F.regexp_extract_all(low, F.lit(negative), 1), lambda s: F.struct(F.lit("against").alias("polarity"), s.alias("subject"))),
     )
-    return decisions.select("doc_id", F.explode(F.array_distinct(found)).alias("c")).select("doc_id", "c.polarity", "c.subject")
+    own = [c for c in ("doc_id", "path") if c in decisions.columns]
+    return decisions.select(*own, F.explode(F.array_distinct(found)).alias("c")).select("doc_id", "c.polarity", "c.subject", *own[1:])
 
 
-def conflict_clusters(found: DataFrame, pair_score: float = 0.836) -> DataFrame:
+def conflict_clusters(found: DataFrame, pair_score: float = 0.836, overlap: float = 0.08) -> DataFrame:
     """Subjects claimed both ways: documents, pairs and score. Pairs are counted, not formed.
 
     A pair is two documents of which one is for and the other against. A document that holds both makes
-    no pair with itself, and two that both hold both make one pair.
+    no pair with itself, and two that both hold both make two pairs. A pair scores ``overlap`` more if the
+    last two parts of the documents' paths are equal; the score starts from the mean of the pairs.
     """
-    sides = found.groupBy("subject", "doc_id").agg(F.max((F.col("polarity") == "for").cast("long")).alias("f"), F.max((F.col("polarity") == "against").cast("long")).alias("a"))
-    n = sides.groupBy("subject").agg(F.count(F.lit(1)).alias("docs"), F.sum("f").alias("f"), F.sum("a").alias("a"), F.sum(F.col("f") * F.col("a")).alias("b"))
-    pairs = F.col("f") * F.col("a") - F.col("b") - F.expr("b * (b - 1) div 2")
-    out = n.where("f > 0 and a > 0").withColumn("pairs", pairs).where("pairs > 0")
+    parts = F.split("path", r"[\\/]")
+    tail = F.lower(F.when(F.size(parts) > 2, F.concat_ws("/", F.element_at(parts, -2), F.element_at(parts, -1))).otherwise(F.concat_ws("/", parts))) if "path" in found.columns else F.lit(None).cast("string")
+    of = lambda side: F.max((F.col("polarity") == side).cast("long"))
+    sides = found.withColumn("tail", tail).groupBy("subject", "doc_id").agg(of("for").alias("f"), of("against").alias("a"), F.max("tail").alias("tail"))
+    sums = (F.count(F.lit(1)).alias("docs"), F.sum("f").alias("f"), F.sum("a").alias("a"), F.sum(F.col("f") * F.col("a")).alias("b"))
+    near = sides.groupBy("subject", "tail").agg(*sums).withColumn("near", F.when(F.col("tail").isNull(), 0).otherwise(F.col("f") * F.col("a") - F.col("b")))
+    n = near.groupBy("subject").agg(*(F.sum(c).alias(c) for c in ("docs", "f", "a", "b", "near")))
+    out = n.withColumn("pairs", F.col("f") * F.col("a") - F.col("b")).where("pairs > 0")
     bonus = F.least(F.lit(0.12), F.greatest(F.lit(0), F.col("docs") - 2) * 0.05) + F.least(F.lit(0.06), F.greatest(F.lit(0), F.col("pairs") - 1) * 0.02)
-    return out.select("subject", "docs", "pairs", rounded(F.least(F.lit(1.0), F.lit(pair_score) + bonus)).alias("score"))
+    base = F.lit(pair_score) + F.col("near") / F.col("pairs") * overlap
+    return out.select("subject", "docs", "pairs", rounded(F.least(F.lit(1.0), base + bonus)).alias("score"))
 
 
 def branch_rollup(chunks: DataFrame, disabled: DataFrame) -> DataFrame:

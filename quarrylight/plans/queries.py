@@ -106,7 +106,7 @@ def graph_one_hop(spark, d):
 
 
 def conflict_clusters(spark, d):
-    return G.conflict_clusters(G.claims(D.table(spark, d, "documents").select("doc_id", F.col("text").alias("content")), positive=r"\bthe ([a-z]+)", negative=r"\bof ([a-z]+)"))
+    return G.conflict_clusters(G.claims(D.chunks(spark, d).select("doc_id", "path", "content"), positive=r"\bthe ([a-z]+)", negative=r"\bof ([a-z]+)"))
 
 
 def change_detection(spark, d):

@@ -65,7 +65,7 @@ def consolidation_groups(spark, d):
 
 
 def conflict_resolutions(spark, d):
-    return H.resolutions(conflict_clusters(claims(K.decisions(spark, d).select("doc_id", "content"))))
+    return H.resolutions(conflict_clusters(claims(K.decisions(spark, d).select("doc_id", "path", "content"))))
 
 
 def plan_validation(spark, d):

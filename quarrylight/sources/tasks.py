@@ -37,7 +37,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as a decision or note with a claim at its end."""
     d = table(spark, sf_dir, "documents")
     kind = F.when(F.col("doc_id") % 3 == 0, "decision").otherwise("manual")
-    return d.select("doc_id", kind.alias("source_kind"), F.substring("text", 1, 30).alias("title"), F.concat_ws("\n", "text", cue(F.col("doc_id"), CLAIM_CUES)).alias("content"), (F.col("n_chars") % 97 / 97.0).alias("score"), (F.col("doc_id") % 50).alias("updated_at"))
+    path = F.concat(F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md"))
+    return d.select("doc_id", kind.alias("source_kind"), path.alias("path"), F.substring("text", 1, 30).alias("title"), F.concat_ws("\n", "text", cue(F.col("doc_id"), CLAIM_CUES)).alias("content"), (F.col("n_chars") % 97 / 97.0).alias("score"), (F.col("doc_id") % 50).alias("updated_at"))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:

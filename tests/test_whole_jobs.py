@@ -1,8 +1,12 @@
 """Registered queries over the whole of their tables, held against plain re-computations."""
 
 import math
+import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
+from quarrylight.operators import governance, planner
 from quarrylight.operators import graph as G
 from quarrylight.plans import upkeep
 from quarrylight.plans.registry import QUERIES
@@ -41,3 +45,41 @@ def test_two_hops_walk_module_edges(spark, sf):
     one = hop({0, 1}, {0, 1}, {"module", "symbol", "tag", "branch"}, 4)
     two = hop(set(one), {0, 1} | set(one), {"module", "symbol", "tag"}, 3)
     assert {(r.doc_id, r.hop): r.score for r in QUERIES["graph_two_hops"](spark, sf).collect()} == {(d, h): v for h, got in ((1, one), (2, two)) for d, v in got.items()}
+
+
+def plain_claims(text):
+    """The reference's two patterns."""
+    low = text.lower()
+    pro = re.findall(r"\b(?:prefer|use|choose|adopt|enable|default to|standardize on)\s+([a-z0-9_/-]+)", low)
+    con = re.findall(r"\b(?:avoid|disable|deprecate|reject|do not use|don't use|never use|not use)\s+([a-z0-9_/-]+)", low)
+    return {("for", s) for s in pro} | {("against", s) for s in con}
+
+
+def test_conflicts_of_all_verbs_pairs_and_paths(spark):
+    verbs = ("prefer", "use", "choose", "adopt", "enable", "default to", "standardize on", "avoid", "disable", "deprecate", "reject", "do not use", "don't use", "never use", "not use")
+    rows = [(i, "decision", f"d{i}/x/{i}.md", "t", f"{v.capitalize()} item{i % 4}.", i / 20, i) for i, v in enumerate(verbs)]
+    both = "choose sqlite, disable sqlite"
+    rows += [(20, "decision", "a/notes/one.md", "t", both, 0.1, 1), (21, "decision", "b\\Notes\\ONE.md", "t", both, 0.2, 1), (22, "decision", "one.md", "t", "reject sqlite", 0.3, 1), (23, "decision", "c/solo.md", "t", "choose solo and reject solo", 0.3, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, source_kind string, path string, title string, content string, score double, updated_at long")
+    found = governance.claims(df)
+    said = {r[0]: plain_claims(r[4]) for r in rows}
+    assert {(r.doc_id, r.polarity, r.subject) for r in found.collect()} == {(d, *c) for d, cs in said.items() for c in cs}
+
+    pairs = defaultdict(list)
+    tail = lambda p: "/".join(re.split(r"[\\/]", p)[-2:]).lower()
+    for x in rows:
+        for y in rows:
+            if x[0] < y[0]:
+                for p, s in said[x[0]]:
+                    for q, t in said[y[0]]:
+                        if s == t and p != q:
+                            pairs[s].append((x[0], y[0], 0.916 if tail(x[2]) == tail(y[2]) else 0.836))
+    want = {}
+    for s, ps in pairs.items():
+        docs = len({d for p in ps for d in p[:2]})
+        want[s] = (docs, len(ps), round(min(1, sum(p[2] for p in ps) / len(ps) + min(0.12, (docs - 2) * 0.05) + min(0.06, (len(ps) - 1) * 0.02)), 4))
+    assert want["sqlite"][:2] == (3, 4) and "solo" not in want
+    assert {r.subject: (r.docs, r.pairs, r.score) for r in governance.conflict_clusters(found).collect()} == want
+
+    gated = planner.conflict_gate(df.where(F.col("doc_id").isin(2, 10))).collect()  # choose item2, reject item2
+    assert {r.doc_id: r.suppressed for r in gated} == {2: True, 10: False}
