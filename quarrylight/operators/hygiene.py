@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from .graph import components
+from .lineage import cut
 
 #: Order of priorities.
 PRIORITY = {"high": 3, "medium": 2, "low": 1}
@@ -80,27 +81,29 @@ def mark_superseded(sources: DataFrame, ids: DataFrame, *, cool: bool = True) ->
     return sources.join(ids, "doc_id", "left_semi").select("doc_id", F.lit("cold" if cool else "working").alias("memory_tier"), F.lit(0.18 if cool else 0.28).alias("stability_score"), F.lit(0.92).alias("distill_confidence"))
 
 
-def consolidation_links(sources: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """(members: doc_id, class_id; links: a, b, score) of sources that score ``least`` or more; ``least`` above 0.66.
+def consolidation_links(sources: DataFrame, least: float = 0.44) -> tuple[DataFrame, DataFrame]:
+    """(members: doc_id, class_id; links: a, b, score) of sources that score ``least`` or more; ``least`` above 0.30.
 
-    Sources with equal title and body tokens, parent, kind and tier are one class (they score 0.94 or more
-    among themselves) with the time of the latest. Classes link on title overlap: beyond 0.64 of other
-    terms a pair needs it, so pairs are made only where the rarest title tokens meet.
+    Sources with equal title and body tokens, parent, kind and tier are one class, where such copies score
+    ``least`` at any age (else each source is its own), with the time of the latest. Beyond 0.30 of other terms a pair needs titles or bodies that overlap by
+    (least - 0.30) / 0.70, so pairs are made only where the rarest tokens of either meet.
     """
-    need = (least - 0.64) / 0.36
+    need = (least - 0.00005 - 0.30) / 0.70  # scores are rounded before they are compared
     if need <= 0:
-        raise ValueError("least must be above 0.64")
+        raise ValueError("least must be above 0.30")
     own = ["t", "b", "parent", "source_kind", "memory_tier"]
-    s = sources.select("doc_id", F.array_sort(F.array_distinct(T.match_tokens(F.col("title")))).alias("t"), F.array_sort(F.array_distinct(T.match_tokens(F.col("content")))).alias("b"), T.parent_bucket(F.col("path")).alias("parent"), "source_kind", F.coalesce("memory_tier", F.lit("")).alias("memory_tier"), "updated_at")
-    keyed = s.withColumn("class_key", F.sha2(F.to_json(F.struct(*own)), 256))
+    s = sources.select("doc_id", F.array_sort(F.array_distinct(T.match_tokens(F.col("title")))).alias("t"), F.array_sort(F.array_distinct(T.match_tokens(F.col("content")))).alias("b"), T.parent_bucket(F.col("path")).alias("parent"), "source_kind", F.coalesce("memory_tier", F.lit("")).alias("memory_tier"), F.col("updated_at").cast("long").alias("updated_at"))
+    among = F.when(F.size("t") > 0, 0.36).otherwise(0.0) + F.when(F.size("b") > 0, 0.34).otherwise(0.0) + 0.24
+    keyed = s.withColumn("class_key", F.sha2(F.to_json(F.struct(*own, F.when(T.rounded(among) < least, F.col("doc_id")).alias("alone"))), 256))
     classes = keyed.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.max("updated_at").alias("at"), *(F.first(c).alias(c) for c in own))
     members = keyed.select("doc_id", "class_key").join(classes.select("class_key", "class_id"), "class_key").select("doc_id", "class_id")
-    tokens = classes.select("class_id", F.size("t").alias("n"), F.explode("t").alias("token"))
-    rare = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    sorted_t = tokens.join(rare, "token").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("l"))
-    prefix = sorted_t.select("class_id", F.explode(F.slice("l", F.lit(1), (F.col("n") - F.ceil(F.col("n") * need - 1e-9) + 1).cast("int"))).alias("p")).select("class_id", F.col("p.token").alias("token"))
+    tokens = classes.select("class_id", F.explode(F.array(F.struct(F.lit("t").alias("of"), F.col("t").alias("l")), F.struct(F.lit("b").alias("of"), F.col("b").alias("l")))).alias("x")).select("class_id", "x.of", F.size("x.l").alias("n"), F.explode("x.l").alias("token"))
+    rare = tokens.groupBy("of", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    sorted_t = tokens.join(rare, ["of", "token"], "left").groupBy("class_id", "of", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("l"))
+    prefix = sorted_t.select("class_id", "of", "n", F.explode(F.slice("l", F.lit(1), (F.col("n") - F.ceil(F.col("n") * need - 1e-9) + 1).cast("int"))).alias("p")).where("p.df > 1").select("class_id", "of", "n", F.col("p.token").alias("token"))
     x, y = prefix.alias("x"), prefix.alias("y")
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.class_id") < F.col("y.class_id"))).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
+    meet = (F.col("x.of") == F.col("y.of")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.class_id") < F.col("y.class_id"))
+    pairs = x.join(y, meet & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * need - 1e-9)).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
     l, r = (classes.select(F.col("class_id").alias(k), F.struct(*own, "at").alias(f"_{k}")) for k in ("a", "b"))
     both = pairs.join(l, "a").join(r, "b")
     f = lambda side, c: F.col(f"_{side}")[c]
@@ -108,9 +111,10 @@ def consolidation_links(sources: DataFrame, least: float = 0.8) -> tuple[DataFra
     return members, both.select("a", "b", T.rounded(score).alias("score")).where(F.col("score") >= least)
 
 
-def consolidation_groups(sources: DataFrame, least: float = 0.8) -> DataFrame:
+def consolidation_groups(sources: DataFrame, least: float = 0.44) -> DataFrame:
     """doc_id, group_id, group_score: groups of two sources or more; score: mean of the links between classes (null: copies only)."""
     members, links = consolidation_links(sources, least)
+    links = cut(links)  # read twice
     found = components(links)
     placed = members.join(found.withColumnRenamed("doc_id", "class_id"), "class_id", "left").select("doc_id", F.coalesce("component", "class_id").alias("group_id"))
     mean = links.join(found.withColumnRenamed("doc_id", "a"), "a").groupBy(F.col("component").alias("group_id")).agg(T.rounded(F.avg("score")).alias("group_score"))

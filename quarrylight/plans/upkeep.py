@@ -61,7 +61,7 @@ def cleanup_actions(spark, d):
 
 
 def consolidation_groups(spark, d):
-    return H.consolidation_groups(D.chunks(spark, d), 0.8)
+    return H.consolidation_groups(D.chunks(spark, d), 0.44)
 
 
 def conflict_resolutions(spark, d):

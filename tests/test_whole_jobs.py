@@ -1,13 +1,16 @@
 """Registered queries over the whole of their tables, held against plain re-computations."""
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrylight.operators import governance, planner
 from quarrylight.operators import graph as G
+from quarrylight.operators import hygiene
 from quarrylight.plans import upkeep
 from quarrylight.plans.registry import QUERIES
 
@@ -83,3 +86,48 @@ def test_conflicts_of_all_verbs_pairs_and_paths(spark):
 
     gated = planner.conflict_gate(df.where(F.col("doc_id").isin(2, 10))).collect()  # choose item2, reject item2
     assert {r.doc_id: r.suppressed for r in gated} == {2: True, 10: False}
+
+
+DAY = 86_400_000
+NOTES = "doc_id long, title string, content string, path string, source_kind string, memory_tier string, updated_at long"
+
+
+def plain_groups(rows, least):
+    """Groups of two or more, from all pairs of notes."""
+    tok = lambda x: {t for t in [t for t in re.split(r"[^\w-]+", x.lower()) if len(t) >= 3][:64]}
+    jac = lambda a, b: len(a & b) / len(a | b) if a and b else 0.0
+    parent = {r[0]: r[0] for r in rows}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, x in enumerate(rows):
+        for y in rows[:i]:
+            score = jac(tok(x[1]), tok(y[1])) * 0.36 + jac(tok(x[2]), tok(y[2])) * 0.34 + 0.12 * (x[3].split("/")[-2] == y[3].split("/")[-2]) + 0.08 * (x[4] == y[4]) + 0.04 * (x[5] == y[5]) + 0.06 * max(0, 1 - abs(x[6] - y[6]) / DAY / 90)
+            if math.floor(score * 10**4 + 0.5) / 10**4 >= least:
+                a, b = root(x[0]), root(y[0])
+                parent[max(a, b)] = min(a, b)
+    size = Counter(root(x) for x in parent)
+    return {x: (root(x), size[root(x)]) for x in parent if size[root(x)] > 1}
+
+
+def grouped(spark, rows, least):
+    return {r.doc_id: (r.group_id, r.n) for r in hygiene.consolidation_groups(spark.createDataFrame(rows, NOTES), least).collect()}
+
+
+@pytest.mark.parametrize("least", [0.44, 0.6, 0.8])
+def test_consolidation_against_all_pairs(spark, least):
+    r = random.Random(11)
+    words = [f"word{i}" for i in range(400)]
+    rows = [(1, "alpha", "same body of two notes", "a/x/1.md", "manual", "stable", 0), (2, "omega", "same body of two notes", "a/x/2.md", "manual", "stable", 0)]  # 0.64
+    rows += [(i, "", "a b", "a/x/3.md", "manual", "stable", 0) for i in (3, 4)]  # no tokens: 0.30 among themselves
+    for g in range(60):
+        base = [r.choice(words) for _ in range(r.choice([3, 8, 20]))]
+        for _ in range(r.choice([1, 2, 3])):
+            text = [w if r.random() < 0.7 else r.choice(words) for w in base]
+            for _ in range(1,):
+                rows.append((len(rows) + 10, " ".join(text[: r.choice([2, 4])]), " ".join(text), f"p/{r.choice('uv')}/x.md", r.choice(["manual", "diary"]), r.choice(["stable", None]), r.randrange(200) * DAY))
+    want = plain_groups(rows, least)
+    assert grouped(spark, rows, least) == want and (1 in want) == (least < 0.64)
