@@ -81,11 +81,21 @@ def mark_superseded(sources: DataFrame, ids: DataFrame, *, cool: bool = True) ->
     return sources.join(ids, "doc_id", "left_semi").select("doc_id", F.lit("cold" if cool else "working").alias("memory_tier"), F.lit(0.18 if cool else 0.28).alias("stability_score"), F.lit(0.92).alias("distill_confidence"))
 
 
+def nearest_times(a: Column, b: Column) -> Column:
+    """Smallest difference between a time of the one array and a time of the other: a merge of both."""
+    sided = lambda x, side: F.transform(x, lambda t: F.struct(t.alias("t"), F.lit(side).alias("side")))
+    start = F.struct(F.lit(None).cast("long").alias("least"), F.lit(None).cast("long").alias("t"), F.lit(-1).alias("side"))
+    step = lambda s, x: F.struct(F.least(s["least"], F.when((s["side"] >= 0) & (s["side"] != x["side"]), x["t"] - s["t"])).alias("least"), x["t"].alias("t"), x["side"].alias("side"))
+    merged = F.aggregate(F.array_sort(F.concat(sided(a, 0), sided(b, 1))), start, step)["least"]
+    return F.when((F.size(a) == 1) & (F.size(b) == 1), F.abs(a[0] - b[0])).otherwise(merged)
+
+
 def consolidation_links(sources: DataFrame, least: float = 0.44) -> tuple[DataFrame, DataFrame]:
     """(members: doc_id, class_id; links: a, b, score) of sources that score ``least`` or more; ``least`` above 0.30.
 
     Sources with equal title and body tokens, parent, kind and tier are one class, where such copies score
-    ``least`` at any age (else each source is its own), with the time of the latest. Beyond 0.30 of other terms a pair needs titles or bodies that overlap by
+    ``least`` at any age (else each source is its own); it keeps its distinct times, and two classes score
+    by their nearest ones. Beyond 0.30 of other terms a pair needs titles or bodies that overlap by
     (least - 0.30) / 0.70, so pairs are made only where the rarest tokens of either meet.
     """
     need = (least - 0.00005 - 0.30) / 0.70  # scores are rounded before they are compared
@@ -95,7 +105,7 @@ def consolidation_links(sources: DataFrame, least: float = 0.44) -> tuple[DataFr
     s = sources.select("doc_id", F.array_sort(F.array_distinct(T.match_tokens(F.col("title")))).alias("t"), F.array_sort(F.array_distinct(T.match_tokens(F.col("content")))).alias("b"), T.parent_bucket(F.col("path")).alias("parent"), "source_kind", F.coalesce("memory_tier", F.lit("")).alias("memory_tier"), F.col("updated_at").cast("long").alias("updated_at"))
     among = F.when(F.size("t") > 0, 0.36).otherwise(0.0) + F.when(F.size("b") > 0, 0.34).otherwise(0.0) + 0.24
     keyed = s.withColumn("class_key", F.sha2(F.to_json(F.struct(*own, F.when(T.rounded(among) < least, F.col("doc_id")).alias("alone"))), 256))
-    classes = keyed.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.max("updated_at").alias("at"), *(F.first(c).alias(c) for c in own))
+    classes = keyed.groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.array_sort(F.collect_set("updated_at")).alias("at"), *(F.first(c).alias(c) for c in own))
     members = keyed.select("doc_id", "class_key").join(classes.select("class_key", "class_id"), "class_key").select("doc_id", "class_id")
     tokens = classes.select("class_id", F.explode(F.array(F.struct(F.lit("t").alias("of"), F.col("t").alias("l")), F.struct(F.lit("b").alias("of"), F.col("b").alias("l")))).alias("x")).select("class_id", "x.of", F.size("x.l").alias("n"), F.explode("x.l").alias("token"))
     rare = tokens.groupBy("of", "token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -107,7 +117,7 @@ def consolidation_links(sources: DataFrame, least: float = 0.44) -> tuple[DataFr
     l, r = (classes.select(F.col("class_id").alias(k), F.struct(*own, "at").alias(f"_{k}")) for k in ("a", "b"))
     both = pairs.join(l, "a").join(r, "b")
     f = lambda side, c: F.col(f"_{side}")[c]
-    score = S.consolidation(T.jaccard(f("a", "t"), f("b", "t")), T.jaccard(f("a", "b"), f("b", "b")), f("a", "parent") == f("b", "parent"), f("a", "source_kind") == f("b", "source_kind"), f("a", "memory_tier") == f("b", "memory_tier"), F.abs(f("a", "at") - f("b", "at")) / S.DAY_MS)
+    score = S.consolidation(T.jaccard(f("a", "t"), f("b", "t")), T.jaccard(f("a", "b"), f("b", "b")), f("a", "parent") == f("b", "parent"), f("a", "source_kind") == f("b", "source_kind"), f("a", "memory_tier") == f("b", "memory_tier"), nearest_times(f("a", "at"), f("b", "at")) / S.DAY_MS)
     return members, both.select("a", "b", T.rounded(score).alias("score")).where(F.col("score") >= least)
 
 

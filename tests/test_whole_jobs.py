@@ -127,7 +127,18 @@ def test_consolidation_against_all_pairs(spark, least):
         base = [r.choice(words) for _ in range(r.choice([3, 8, 20]))]
         for _ in range(r.choice([1, 2, 3])):
             text = [w if r.random() < 0.7 else r.choice(words) for w in base]
-            for _ in range(1,):
+            for _ in range(r.choice([1, 1, 3])):
                 rows.append((len(rows) + 10, " ".join(text[: r.choice([2, 4])]), " ".join(text), f"p/{r.choice('uv')}/x.md", r.choice(["manual", "diary"]), r.choice(["stable", None]), r.randrange(200) * DAY))
     want = plain_groups(rows, least)
     assert grouped(spark, rows, least) == want and (1 in want) == (least < 0.64)
+
+
+def test_consolidation_of_copies_of_many_ages(spark):
+    """Base score 0.77; only the old copy of the group is near the other text's old note."""
+    note = lambda i, body, at: (i, "shared title here", body, "a/x/n.md", "manual", "stable", at * DAY)
+    body = [f"word{i}" for i in range(34)]
+    first, other = " ".join(body), " ".join(body[:22] + [f"else{i}" for i in range(10)])
+    rows = [note(1, first, 199), note(2, first, 100), note(3, first, 3), note(4, other, 1), note(5, other, 60)]
+    want = plain_groups(rows, 0.8)
+    assert grouped(spark, rows, 0.8) == want and want[4] == (1, 5)
+    assert spark.range(1).select(hygiene.nearest_times(F.array(F.lit(9).cast("long"), F.lit(1).cast("long")), F.array(F.lit(4).cast("long"), F.lit(20).cast("long")))).first()[0] == 3
