@@ -37,11 +37,14 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near-duplicates, the one with the smallest doc_id.
 
-    Five-word shingles, similarity 0.8. Of rows with equal doc_id and text one stays; a document
-    without words is in no group and stays.
+    Five-word shingles, similarity 0.8. Of a group's rows with that doc_id, or without any, the one with
+    the least text hash stays. Of rows with equal doc_id and text one stays; a document without words is
+    in no group and stays.
     """
     prepare(spark)
-    kept = minhash.near_duplicates(docs).where("kept").select("k1", "k2").distinct()
+    own = F.struct("k1", "k2")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "k1", "k2")).alias("first")
+    kept = minhash.near_duplicates(docs).groupBy("part", F.when(F.col("part").isNull(), own).alias("alone")).agg(first).select("first.k1", "first.k2")
     rows = keyed(docs.select(*COLUMNS, F.col("text").alias("original")), "original", "lang", "source", "n_chars")
     single = rows.join(kept.hint("shuffle_hash"), ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"])
     return single.select("doc_id", F.col("original").alias("text"), "lang", "source", "n_chars")

@@ -176,13 +176,14 @@ def across(percent: int):
 
 
 def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and k1, k2, for every document.
+    """doc_id, n_shingles, component_id, kept, and k1, k2, part, for every document.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` of the whole text with A-Z lower-cased. A document's set holds its
     distinct shingles of ``size`` words; with fewer words the whole sequence is one, and without words
     (or with a null text) the set is empty and linked with nothing. Documents are linked if their sets'
     Jaccard similarity is at least ``percent`` / 100. component_id is the smallest doc_id reachable. A
-    null doc_id is the smallest only among nulls. Repeated rows are linked with each other.
+    null doc_id is the smallest only among nulls. Repeated rows are linked with each other. part numbers
+    the component itself, whatever its ids (null: no words).
     """
     spark = docs.sparkSession
     base = spill(spark, sketch(docs, size))
@@ -247,6 +248,6 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
 
     parts = reps.join(labels, "node", "left").select(*kind, "least", F.coalesce("component", "node").alias("part"))
     lowest = parts.groupBy("part").agg(F.min("least").alias("component_id"))
-    result = base.select("doc_id", "k1", "k2", *kind).join(parts.join(lowest, "part").select(*kind, "component_id"), kind, "left")
+    result = base.select("doc_id", "k1", "k2", *kind).join(parts.join(lowest, "part").select(*kind, "component_id", "part"), kind, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "k1", "k2")
+    return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "k1", "k2", "part")

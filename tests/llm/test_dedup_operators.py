@@ -229,6 +229,16 @@ def test_url_rules_by_shuffled_index(spark, monkeypatch):
     assert got == {1: ("net/fr/", "block"), 2: (None, "allow")}
 
 
+def test_pipeline_keeps_one_row_of_each_group(spark, sf):
+    import corpus_pipeline as p
+
+    copies = lambda w: [" ".join([w + str(i) for i in range(80)] + [f"end{w}{j}"]) for j in range(3)]
+    groups = [[(None, t) for t in copies("a")], [(5, t) for t in copies("b")], [*zip([9, None, 9], copies("c"), strict=True)], [(None, "single words of no group at all")], [(None, "")], [(5, "")]]
+    docs = spark.createDataFrame([(d, t, None, None, 0, "", 0, "", 0) for g in groups for d, t in g], SCHEMA).repartition(3)
+    got = [(r.doc_id, r.text) for r in p.near_duplicates(spark, docs, sf).collect()]
+    assert len(got) == len(groups) and all(len([x for x in got if x in g and x[0] == min((d for d, _ in g if d), default=None)]) == 1 for g in groups)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 
