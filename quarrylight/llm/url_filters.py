@@ -39,8 +39,8 @@ def host_rule(verdict: str, rule: str) -> Rule:
 
 
 def word_rule(word: str) -> Rule:
-    """Block URLs that hold the word between characters that aren't letters or digits."""
-    return Rule(None, rf"(?s)(?:^|[^a-z0-9]){re.escape(word)}(?:$|[^a-z0-9])", (word,), "block", 1)
+    """Block URLs that hold the word, in any case, between characters that aren't letters or digits."""
+    return Rule(None, rf"(?si)(?:^|[^a-z0-9]){re.escape(word)}(?:$|[^a-z0-9])", (word,), "block", 1)
 
 
 #: The rules of the query's contract.

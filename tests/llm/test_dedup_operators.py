@@ -222,6 +222,13 @@ def test_url_rules(spark):
         url_filters.judge_urls(df, [url_filters.Rule("x", ".*", (), "block", 1)])
 
 
+def test_word_rules_in_any_case(spark):
+    urls = {"http://a.org/CASINO/": "block", "http://a.org/x-Casino?q": "block", "http://CASINO.org/": "block", "http://a.org/CASINOS": "allow", "http://a.org/XCASINO": "allow", "http://a.org/casinoX": "allow", "http://a.net/FR/": "allow", "http://a.net/fr/": "block"}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.page_id: r.verdict for r in url_filters.judge_urls(df, url_filters.CONTRACT + url_filters.WORDS).collect()}
+    assert got == dict(enumerate(urls.values()))
+
+
 def test_url_rules_by_shuffled_index(spark, monkeypatch):
     monkeypatch.setattr(url_filters, "BROADCAST_RULES", 0)
     df = spark.createDataFrame([(1, "http://a.net/fr/"), (2, "http://a.org/")], "page_id long, url string")
