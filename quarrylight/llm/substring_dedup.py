@@ -7,33 +7,37 @@ sorting the windows counts them exactly (see ``repeats`` for the way there and b
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import col, slices
-from .repeats import Units, covered, repeated
+from .repeats import Units, covered, repeated, runs_of
 
 WINDOW, GRAM = 35, 8
 
 
 def sorted_windows(window: int):
-    """A decider that sorts all windows of a bucket and counts equal neighbours."""
+    """A decider that sorts all windows of a bucket and looks for equal neighbours; a string with copies comes twice."""
 
-    def decide(groups: Iterator[tuple[int, list[bytes], list[int]]]) -> Iterator[tuple[int, list[list[tuple[int, int]]]]]:
-        for key, strings, copies in groups:
+    def decide(groups: Iterator[tuple[list[bytes], list[bool]]]) -> Iterator[list[list[tuple[int, int]]]]:
+        for strings, copied in groups:
             entries = []
-            for si, s in enumerate(strings):
+            for si, (s, twice) in enumerate(zip(strings, copied, strict=True)):
                 ends = [i for i, c in enumerate(s) if c == 32] + [len(s)]
                 starts = [0, *(e + 1 for e in ends[:-1])]
-                entries += [(s[a:b], si, i) for i, (a, b) in enumerate(zip(starts, ends[window - 1 :], strict=False))]
+                own = [(s[a:b], si, i) for i, (a, b) in enumerate(zip(starts, ends[window - 1 :], strict=False))]
+                entries += own * (1 + twice)
             entries.sort()
-            hits: list[list[int]] = [[] for _ in strings]
-            for k, (w, si, i) in enumerate(entries):
-                if copies[si] > 1 or (k and entries[k - 1][0] == w) or (k + 1 < len(entries) and entries[k + 1][0] == w):
-                    hits[si].append(i)
-            yield key, [[(i, 1) for i in h] for h in hits]
+            hits = [set() for _ in strings]
+            for one, two in itertools.pairwise(entries):
+                if one[0] == two[0]:
+                    hits[one[1]].add(one[2])
+                    hits[two[1]].add(two[2])
+            yield [runs_of(np.isin(np.arange(max(h) + 1), list(h))) if h else [] for h in hits]
 
     return decide
 

@@ -136,30 +136,31 @@ def buckets(lead: np.ndarray) -> Iterator[np.ndarray]:
 
 
 def suffix_windows(window: int):
-    """A decider that sorts the suffixes of whole blocks of groups."""
+    """A decider that ranks the cover sample of a block of buckets and sorts the suffixes of their windows.
 
-    def decide(groups: Iterator[tuple[int, list[bytes], list[int]]]) -> Iterator[tuple[int, list[list[tuple[int, int]]]]]:
-        held: list[tuple[int, list[bytes], list[int]]] = []
+    A string with copies stands twice in the block. Buckets that share a block can't share a window.
+    """
+
+    def decide(groups: Iterator[tuple[list[bytes], list[bool]]]) -> Iterator[list[list[tuple[int, int]]]]:
+        held: list[tuple[list[bytes], list[bool]]] = []
         size = 0
 
-        def flush() -> Iterator[tuple[int, list[list[tuple[int, int]]]]]:
-            strings = [s for _, ss, _ in held for s in ss]
-            block = Block(np.frombuffer(b"".join(strings), np.uint8), window)
-            lengths = np.array([len(s) for s in strings])
+        def flush() -> Iterator[list[list[tuple[int, int]]]]:
+            once = [s for strings, _ in held for s in strings]
+            second = [s for strings, copied in held for s, twice in zip(strings, copied, strict=True) if twice]
+            block = Block(np.frombuffer(b"".join([*once, *second]), np.uint8), window)
+            lengths = np.array([len(s) for s in (*once, *second)])
             windows, begin = lengths - window + 1, np.cumsum(lengths) - lengths
             first = np.cumsum(windows) - windows
             hit = block.repeats(np.arange(int(windows.sum())) + np.repeat(begin - first, windows))
             k = 0
-            for key, ss, copies in held:
-                runs = []
-                for c in copies:
-                    runs.append([(0, int(windows[k]))] if c > 1 else runs_of(hit[first[k] : first[k] + windows[k]]))
-                    k += 1
-                yield key, runs
+            for strings, _ in held:
+                yield [runs_of(hit[first[i] : first[i] + windows[i]]) for i in range(k, k + len(strings))]
+                k += len(strings)
 
         for group in groups:
             held.append(group)
-            size += sum(map(len, group[1]))
+            size += sum(len(s) * (1 + twice) for s, twice in zip(*group, strict=True))
             if size >= BLOCK_BYTES:
                 yield from flush()
                 held, size = [], 0

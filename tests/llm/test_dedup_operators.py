@@ -17,7 +17,7 @@ def sha(b: bytes) -> str:
     return hashlib.sha256(b).hexdigest()
 
 
-@pytest.mark.parametrize(("window", "gram", "large"), [(35, 8, 5000), (5, 2, 5000), (5, 5, 1)])
+@pytest.mark.parametrize(("window", "gram", "large"), [(35, 8, 5000), (35, 8, 1), (5, 2, 5000), (5, 2, 2), (5, 5, 1)])
 def test_repeated_words(spark, window, gram, large, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP_ROWS", large)
     got = sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeated_words(documents(spark), window=window, gram=gram).collect())
@@ -29,7 +29,7 @@ def test_repeated_words(spark, window, gram, large, monkeypatch):
     assert substring_dedup.remove_repeated_words(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize(("window", "gram", "large"), [(400, 128, 5000), (40, 12, 5000), (40, 12, 1), (9, 3, 5000)])
+@pytest.mark.parametrize(("window", "gram", "large"), [(400, 128, 5000), (40, 12, 5000), (40, 12, 1), (200, 48, 3), (9, 3, 5000)])
 def test_repeated_bytes(spark, window, gram, large, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP_ROWS", large)
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, sha(r.kept)) for r in suffix_dedup.remove_repeated_bytes(documents(spark), window=window, gram=gram).collect())
