@@ -44,6 +44,9 @@ _IN[COVER] = True
 #: SHIFT[a, b]: the least shift that takes residues a and b into the cover together.
 SHIFT = np.array([[next(s for s in range(PERIOD) if _IN[(a + s) % PERIOD] and _IN[(b + s) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)])
 
+#: LAST[a, b]: the same backwards, as a number from 1 - PERIOD to 0.
+LAST = np.array([[next(-s for s in range(PERIOD) if _IN[(a - s) % PERIOD] and _IN[(b - s) % PERIOD]) for b in range(PERIOD)] for a in range(PERIOD)])
+
 
 def dense(key: np.ndarray) -> np.ndarray:
     """Rank of each value among the distinct ones, from 1."""
@@ -59,6 +62,8 @@ class Block:
         for step in (1, 2, 4):
             w[:-step] = (w[:-step] << U(8 * step)) | w[step:]
         self.words = w
+        #: A depth at which two sample ranks and the bytes at both ends settle whether windows are equal.
+        self.near_depth = next((d for d in (PERIOD << k for k in range(20)) if window <= 2 * d and d + PERIOD <= window), 0)
         self._rank_sample()
 
     def _rank_sample(self) -> None:
@@ -73,6 +78,8 @@ class Block:
         rank[at[order]] = np.cumsum(new).astype(np.uint64) + U(1)
         depth = PERIOD
         while depth < self.window:
+            if depth == self.near_depth:
+                self.near = rank.copy()
             ahead = np.where(at + depth < len(rank), rank[np.minimum(at + depth, len(rank) - 1)], U(0))
             rank[at] = dense((rank[at] << U(32)) | ahead)
             depth *= 2
@@ -112,18 +119,32 @@ class Block:
         lead = self.words[starts] >> U(48)
         for bucket in buckets(lead):
             at = self.sort_bucket(starts[bucket])
-            pair = np.arange(len(at) - 1)
-            for k in range(0, self.window, 8):
-                x, y = self.words[at[pair] + k], self.words[at[pair + 1] + k]
-                if self.window - k < 8:
-                    x, y = x >> U(8 * (8 - self.window + k)), y >> U(8 * (8 - self.window + k))
-                pair = pair[x == y]
-                if not len(pair):
-                    break
+            pair = self.equal_neighbours(at)
             hit[at[pair]] = True
             hit[at[pair + 1]] = True
         return hit[starts]
 
+    def equal_neighbours(self, at: np.ndarray) -> np.ndarray:
+        """The i for which the windows at ``at[i]`` and ``at[i + 1]`` have the same bytes.
+
+        Bytes are compared one word after another. Where the window allows it, sample ranks stand for
+        the middle: one right after the first bytes and one that ends right before the last bytes.
+        """
+        pair = np.arange(len(at) - 1)
+        ends = (0, 8, 16, 24, *range(self.window - 32, self.window, 8))
+        for k in ends if self.near_depth else range(0, self.window, 8):
+            x, y = self.words[at[pair] + k], self.words[at[pair + 1] + k]
+            if self.window - k < 8:
+                x, y = x >> U(8 * (8 - self.window + k)), y >> U(8 * (8 - self.window + k))
+            pair = pair[x == y]
+        if self.near_depth:
+            rest = self.window - self.near_depth
+            for table, base in ((SHIFT, 0), (LAST, rest)):
+                x, y = at[pair], at[pair + 1]
+                step = base + table[(x + base) % PERIOD, (y + base) % PERIOD]
+                pair = pair[self.near[x + step] == self.near[y + step]]
+        return pair
+
 
 def buckets(lead: np.ndarray) -> Iterator[np.ndarray]:
     """Indices by ranges of leading bytes, about BUCKET in each; equal leads stay together."""
