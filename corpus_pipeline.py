@@ -13,6 +13,8 @@ from quarrylight.llm import minhash, packing, quality, suffix_dedup
 from quarrylight.llm.common import col, keyed, prepare, slices, spill, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Bytes of a passage that counts as repeated: below the length of nearly all texts of 50 words (4 bytes a word).
+PASSAGE, PASSAGE_GRAM = 200, 48
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +53,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes every byte that a repeated 400-byte string covers; a character that a cut splits goes too.
+    """Removes every byte that a repeated string of ``PASSAGE`` bytes covers; a character that a cut splits goes too.
 
     Documents stay, even if nothing of their text is left; n_chars follows the text. A null text becomes empty.
     """
@@ -61,7 +63,8 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
         texts = [suffix_dedup.without(t.encode("utf-8"), s).decode("utf-8", "ignore") if s else t for t, s in zip(col(b, "text").to_pylist(), spans, strict=True)]
         return pa.RecordBatch.from_arrays([col(b, "doc_id"), pa.array(texts, pa.string()), col(b, "lang"), col(b, "source"), pa.array([len(t) for t in texts], pa.int64())], names=COLUMNS)
 
-    return suffix_dedup.map_repeated_bytes(docs, make, "doc_id long, text string, lang string, source string, n_chars long", more=("lang", "source"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    return suffix_dedup.map_repeated_bytes(docs, make, schema, window=PASSAGE, gram=PASSAGE_GRAM, more=("lang", "source"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
