@@ -45,7 +45,7 @@ def test_repeated_bytes(spark, window, gram, large, monkeypatch):
 def test_suffix_order_and_repeats():
     r = random.Random(3)
     for trial in range(120):
-        k = r.choice([20, 33, 40, 64])
+        k = r.choice([20, 33, 62, 64, 75, 90, 120])
         pool = [bytes(r.choice(b"ab") if trial % 3 else r.randrange(97, 123) for _ in range(r.randrange(1, 90))) for _ in range(6)]
         text = b"".join(r.choice(pool) for _ in range(r.randrange(2, 30))) + b"z" * k
         block, starts = suffix_dedup.Block(np.frombuffer(text, np.uint8), k), np.arange(len(text) - k + 1)
@@ -246,6 +246,33 @@ def test_pipeline_keeps_one_row_of_each_group(spark, sf):
     assert len(got) == len(groups) and all(len([x for x in got if x in g and x[0] == min((d for d, _ in g if d), default=None)]) == 1 for g in groups)
 
 
+def test_pipeline_removes_planted_passages(spark, sf):
+    import corpus_pipeline as p
+
+    r = random.Random(5)
+    found = [(x.doc_id, x.text) for x in spark.read.parquet(f"{sf}/documents.parquet").dropDuplicates(["text"]).collect()]
+    before = {x.doc_id: x.text for x in p.suffix_array_dedup(spark, documents_of(spark, found), sf).collect()}
+    clean = [(d, t) for d, t in found if before[d] == t and len(t) > 300]
+    vocabulary = [w for _, t in clean for w in t.split() if len(w) > 2]
+    planted = {}
+    for n in range(51, 61):
+        passage = " ".join(r.choice(vocabulary) for _ in range(n))
+        for d, t in r.sample([x for x in clean if x[0] not in planted], 3):
+            at = r.choice([i for i, c in enumerate(t) if c == " "])
+            planted[d] = (t[:at], passage, t[at:])
+    after = {x.doc_id: x.text for x in p.suffix_array_dedup(spark, documents_of(spark, [(d, "\n".join(planted[d]) if d in planted else t) for d, t in found]), sf).collect()}
+    assert len(planted) == 30
+    for d, (head, passage, tail) in planted.items():
+        # bytes beside a passage that its copies share by chance go with it
+        assert passage not in after[d] and after[d].startswith(head[:-9]) and after[d].endswith(tail[9:])
+        assert len(after[d]) <= len(head) + len(tail) + 2
+    assert all(after[d] == t for d, t in clean if d not in planted)
+
+
+def documents_of(spark, found):
+    return spark.createDataFrame([(d, t, "en", "s", len(t), "", 0, "", 0) for d, t in found], SCHEMA).repartition(3)
+
+
 def test_pipeline_stages(spark, sf):
     import corpus_pipeline as p
 
@@ -265,7 +292,7 @@ def test_pipeline_stages(spark, sf):
     clean = p.suffix_array_dedup(spark, docs, sf)
     assert clean.columns == p.COLUMNS
     texts = [(t or "").encode() for _, t, *_ in rows()]
-    gone = repeated_units([list(t) for t in texts], 400)
+    gone = repeated_units([list(t) for t in texts], p.PASSAGE)
     want = sorted((str(r[0]), bytes(c for c, g in zip(t, gs, strict=True) if not g).decode("utf-8", "ignore")) for r, t, gs in zip(rows(), texts, gone, strict=True))
     assert sorted((str(r.doc_id), r.text) for r in clean.collect()) == want
     assert all(r.n_chars == len(r.text) for r in clean.collect())
