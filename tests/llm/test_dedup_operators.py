@@ -88,9 +88,37 @@ def test_near_duplicates_on_awkward_rows(spark, size):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
 
-@pytest.mark.parametrize("block", [384, 3])
-def test_near_duplicates_lose_no_link(spark, block, monkeypatch):
+def test_signatures_of_small_sets_agree_as_chance_has_it():
+    rng = np.random.default_rng(0)
+    for n, common in ((5, 4), (9, 8), (10, 9), (30, 27)):
+        union = rng.integers(0, 2**64, (20000, 2 * n - common if n > 5 else n), dtype=np.uint64)
+        one, two = union[:, :n], union[:, n - common :] if n > 5 else union[:, :common]
+        agree = sum(np.equal(*(((x ^ minhash.SEEDS[k]) * minhash.TIMES[k] >> np.uint64(32)).min(1) for x in (one, two))) for k in range(minhash.COORDINATES))
+        p = common / union.shape[1]
+        assert abs(agree.mean() / minhash.COORDINATES - p) < 0.005 and abs(agree.var() / (minhash.COORDINATES * p * (1 - p)) - 1) < 0.05
+        assert p < 0.8 or agree.min() >= minhash.MATCHES
+
+
+def test_collisions_are_counted_exactly():
+    rng = np.random.default_rng(6)
+    for trial in range(30):
+        base = rng.integers(0, 4 + 30 * (trial % 3), (12, minhash.COORDINATES))
+        rows = base[rng.integers(0, 12, 60)].copy()
+        change = rng.random(rows.shape) < rng.random((60, 1)) * 0.7
+        rows[change] = rng.integers(0, 40, int(change.sum()))
+        rows, part = rows.astype(np.uint32), rng.integers(0, 9, 60)
+        least = int(rng.integers(1, minhash.COORDINATES + 1))
+        i, j = minhash.collisions(rows[:25], rows[25:], part[:25], part[25:], least)
+        agree = (rows[:25, None] == rows[None, 25:]).sum(2)
+        want = (agree >= least) & (part[:25, None] != part[None, 25:])
+        assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [tuple(x) for x in np.argwhere(want).tolist()]
+
+
+@pytest.mark.parametrize(("block", "size"), [(384, 1 << 25), (3, 1 << 25), (384, 400)])
+def test_near_duplicates_lose_no_link(spark, block, size, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK", block)
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", size)
+    monkeypatch.setattr(minhash, "SALT", block)
     r = random.Random(8)
     vocabulary = [f"w{i}" for i in range(400)]
     found = []
