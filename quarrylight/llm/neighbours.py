@@ -61,7 +61,11 @@ def bucket(width: int, table: int, axis: np.ndarray) -> np.ndarray:
 
 
 def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Vector length, ids and unit-free double matrix of the batch's usable vectors."""
+    """Vector length, ids and double matrix of the batch's usable vectors.
+
+    Rows are scaled by a power of two to a largest component below one: exact, without effect on a
+    cosine, and squares of very large or small components neither overflow nor vanish.
+    """
     vectors = col(batch, "embedding")
     if vectors.null_count:
         keep = vectors.is_valid()
@@ -75,7 +79,8 @@ def by_length(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarr
         x = flat[first[at][:, None] + np.arange(n)]
         good = np.isfinite(x).all(1) & (np.abs(x).max(1) > 0)
         if good.any():
-            yield int(n), ids[at][good], x[good]
+            x = x[good]
+            yield int(n), ids[at][good], np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
 
 
 def search(vectors: DataFrame, *, every: int = 50, k: int = 5, tables: int = TABLES, probes: int = PROBES) -> DataFrame:
