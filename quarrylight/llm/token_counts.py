@@ -11,6 +11,7 @@ changes nothing.
 from __future__ import annotations
 
 import uuid
+from urllib.parse import quote, unquote
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,7 +49,9 @@ class TokenTotals:
 
     A null doc_id counts in the totals but can't be addressed later. Of a doc_id that occurs several
     times in a batch, every row counts, and a later delete or revision takes all of them back. Null
-    source or language is a group of its own. Deleting an unknown id does nothing.
+    source or language is a group of its own. Deleting an unknown id does nothing. A batch id is any text but
+    the empty one. Batches are meant to come from one writer at a time: a batch that finds another one
+    committed while it was made is made anew, but two that commit in the same moment are not told apart.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -62,7 +65,8 @@ class TokenTotals:
         folder = self._path(f"{self.root}/commits")
         if not self._fs.exists(folder):
             return {}
-        return dict(f.getPath().getName().rsplit("@", 1) for f in self._fs.listStatus(folder) if "@" in f.getPath().getName())
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return {unquote(b): attempt for b, attempt in (n.removeprefix("b-").rsplit("@", 1) for n in names if "@" in n)}
 
     def _read(self, kind: str) -> DataFrame:
         schema = ROW if kind == "deltas" else ROW.replace("doc_id long, ", "")
@@ -71,7 +75,11 @@ class TokenTotals:
 
     def state(self) -> DataFrame:
         """What each document counts now."""
-        net = self._read("deltas").groupBy("doc_id", *KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
+        return self._net(self._read("deltas"))
+
+    @staticmethod
+    def _net(deltas: DataFrame) -> DataFrame:
+        net = deltas.groupBy("doc_id", *KEYS).agg(F.sum("d_docs").alias("d_docs"), F.sum("d_tokens").alias("d_tokens"))
         return net.where("d_docs <> 0 or d_tokens <> 0")
 
     def apply(self, batch_id: str, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
@@ -80,13 +88,23 @@ class TokenTotals:
         A doc_id in both is deleted first and then counted anew. Returns False, and does nothing, if
         the batch is committed already.
         """
-        if batch_id in self.batches():
-            return False
+        if not batch_id:
+            raise ValueError("a batch needs an id")
+        while True:
+            before = self.batches()
+            if batch_id in before:
+                return False
+            attempt = self._write(upserts, deletes, bool(before))
+            if self.batches() == before:
+                return self._commit(batch_id, attempt)
+
+    def _write(self, upserts: DataFrame | None, deletes: DataFrame | None, known: bool) -> str:
+        """Signed rows and rollup of a batch, not yet committed."""
         parts = []
         changed = [x.select("doc_id") for x in (upserts, deletes) if x is not None]
-        if changed and self.batches():
+        if changed and known:
             ids = changed[0] if len(changed) == 1 else changed[0].unionByName(changed[1])
-            old = self.state().join(ids.where("doc_id is not null"), "doc_id", "left_semi")
+            old = self._net(self._read("deltas").join(ids.where("doc_id is not null"), "doc_id", "left_semi"))
             parts.append(old.select("doc_id", *KEYS, (-F.col("d_docs")).alias("d_docs"), (-F.col("d_tokens")).alias("d_tokens")))
         if upserts is not None:
             parts.append(upserts.select("doc_id", *KEYS, F.lit(1).cast("long").alias("d_docs"), F.col("n_tokens").cast("long").alias("d_tokens")))
@@ -97,13 +115,14 @@ class TokenTotals:
         rows.write.parquet(f"{self.root}/deltas/{attempt}")
         sums = [F.sum(c).alias(c) for c in ("d_docs", "d_tokens")]
         self.spark.read.schema(ROW).parquet(f"{self.root}/deltas/{attempt}").groupBy(*KEYS).agg(*sums).coalesce(1).write.parquet(f"{self.root}/rollups/{attempt}")
-        return self._commit(batch_id, attempt)
+        return attempt
 
     def _commit(self, batch_id: str, attempt: str) -> bool:
-        claim = self._path(f"{self.root}/claims/{batch_id}")
+        name = "b-" + quote(batch_id, safe="")  # one file name, whatever the id holds
+        claim = self._path(f"{self.root}/claims/{name}")
         if not self._fs.createNewFile(claim) and batch_id in self.batches():
             return False
-        return self._fs.createNewFile(self._path(f"{self.root}/commits/{batch_id}@{attempt}"))
+        return self._fs.createNewFile(self._path(f"{self.root}/commits/{name}@{attempt}"))
 
     def totals(self) -> DataFrame:
         """n_docs and n_tokens by source, lang and tokenizer_version; groups that are back at zero go."""
