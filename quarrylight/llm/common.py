@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +59,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors see: spark.checkpoint.dir, or one of our own where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quarrylight-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

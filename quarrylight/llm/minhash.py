@@ -321,7 +321,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     drop_spill(spark, lists, mixed, members, close, sets, links, more)
 
     parts = reps.join(labels, "node", "left").select(*kind, "least", F.coalesce("component", "node").alias("part"))
-    lowest = parts.groupBy("part").agg(F.min("least").alias("component_id"))
+    lowest = spill(spark, parts.groupBy("part").agg(F.min("least").alias("component_id")))  # so that a large part can be split
     result = base.select("doc_id", "k1", "k2", *kind).join(parts.join(lowest, "part").select(*kind, "component_id", "part"), kind, "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return result.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"), "k1", "k2", "part")

@@ -309,7 +309,8 @@ def repeated(docs: DataFrame, units: Units, decide: Decide, more: tuple[str, ...
     listed = spill(spark, scan(docs, units))
     texts = keyed(docs, *more).repartition(partitions(spark), "k1", "k2")
     often = listed.groupBy("minimiser").agg(F.count(F.lit(1)).alias("all"), F.max("again").alias("again"))
-    shared = often.where("all > 1 or again").select("minimiser")
+    # written first, so that a frequent minimiser is a large partition of a plain join, which Spark can split
+    shared = spill(spark, often.where("all > 1 or again").select("minimiser"))
     place = F.struct("minimiser", "digest", "windows", "start")
     wanted = listed.join(shared, "minimiser").groupBy("k1", "k2").agg(F.collect_set(place).alias("starts"))
     strings = spill(spark, cut_strings(texts, wanted, units))
