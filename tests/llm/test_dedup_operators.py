@@ -215,6 +215,16 @@ def test_neighbours_of_a_table_of_repeated_rows(spark):
     assert {r.vec_id for r in neighbours.search(spark.createDataFrame(few, "vec_id long, embedding array<double>"), probes=1).collect()} == {51, 52, 53, 54, 55}
 
 
+def test_neighbours_of_very_large_and_small_vectors(spark):
+    rows_ = [(50, [1e200, 2e200]), (51, [1.0, 2.0]), (52, [-1.0, 3.0]), (53, [3e-200, 6e-200]), (54, [2e-310, 4e-310]), (55, [1e308, -1e308]), (100, [1e-200, 2e-200]), (101, [2.0, 1.0])]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(rows_, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.vec_id, round(r.score, 9)))
+    # the first four point the same way but for rounding
+    assert {v for v, _ in got[50][:4]} == {51, 53, 54, 100} and got[50][4] == (101, 0.8)
+    assert {v for v, _ in got[100][:4]} == {50, 51, 53, 54} and [s for _, s in got[100]] == [1.0, 1.0, 1.0, 1.0, 0.8]
+
+
 def test_hadamard_is_orthonormal():
     h = neighbours.hadamard(np.eye(16))
     assert np.allclose(h @ h.T, np.eye(16)) and np.allclose(np.abs(h), 0.25)

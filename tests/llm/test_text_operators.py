@@ -7,7 +7,9 @@ from array import array
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from quarrylight.llm import bpe, fingerprints, packing, quality, token_counts
@@ -69,6 +71,60 @@ def test_fingerprints_follow_the_order_of_ids(spark, parts):
     assert len(alone) == 1 and alone[0].near_next == 1.0
 
 
+def plain_chunks(text):
+    """Byte by byte: the hash of the last 16 bytes, a strict test up to the target length, a loose one after it."""
+    chunks, begin = [], 0
+    for i in range(len(text)):
+        h = sum(int(fingerprints.GEAR[text[i - j]]) << j for j in range(min(16, i + 1))) & 0xFFFF
+        size = i + 1 - begin
+        zero_bits = 6 if size < fingerprints.TARGET else 4
+        if size == fingerprints.LARGEST or (size >= fingerprints.SMALLEST and h >> (16 - zero_bits) == 0):
+            chunks.append(text[begin : i + 1])
+            begin = i + 1
+    return chunks + ([text[begin:]] if begin < len(text) else [])
+
+
+def test_chunks_and_weights_against_a_plain_chunker():
+    r = random.Random(9)
+    texts = [(t or "").encode() for _, t, *_ in rows()] + [bytes(r.randrange(256) for _ in range(n)) for n in (1, 7, 8, 31, 129, 5000)]
+    for text, cuts, weights in zip(texts, fingerprints.boundaries(texts), fingerprints.fingerprints(texts), strict=True):
+        chunks = plain_chunks(text)
+        assert cuts == np.cumsum([len(c) for c in chunks]).tolist()
+        want = {}
+        for c in chunks:
+            want[xxhash.xxh3_64_intdigest(c)] = want.get(xxhash.xxh3_64_intdigest(c), 0) + len(c)
+        assert dict(weights) == want
+
+
+def test_ridge_and_scores_against_plain_numpy(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    known = {}
+    for r in labels.collect():
+        known.setdefault(r.doc_id, set()).add(r.quality)
+    fitted = [(r.doc_id, r.text or "", *known[r.doc_id]) for r in docs.collect() if known.get(r.doc_id) in ({0}, {1})]
+    x = quality.statistics(pa.array([t for _, t, _ in fitted]))
+    y, fold = np.array([float(q) for *_, q in fitted]), np.array([quality.fold_of(d, quality.FOLDS) for d, *_ in fitted])
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-6), -8, 8)
+    p = np.hstack([np.ones((len(z), 1)), z, np.sqrt(2 / quality.FEATURES) * np.cos(z @ model.waves + model.shift)])
+    ridge = quality.RIDGE * np.eye(p.shape[1])
+    ridge[0, 0] = 1e-6
+    solve = lambda rows: np.linalg.solve(p[rows].T @ p[rows] + ridge, p[rows].T @ y[rows])
+    assert np.allclose(model.weights, solve(np.ones(len(y), bool)), atol=1e-6)
+    apart = np.zeros(len(y))
+    for k in range(quality.FOLDS):
+        apart[fold == k] = p[fold == k] @ solve(fold != k)
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, model).collect()}
+    # isotonic regression by its min-max formula, over mean values of ranges in order of the held-out raw scores
+    order = np.argsort(apart, kind="stable")
+    sums = np.concatenate([[0], np.cumsum(y[order])])
+    n = len(y)
+    fit = [max(min((sums[b] - sums[a]) / (b - a) for b in range(i + 1, n + 1)) for a in range(i + 1)) for i in range(n)]
+    raw = p @ model.weights
+    want = np.clip(np.interp(raw, apart[order], fit), 0, 1)
+    assert np.abs(np.array([got[d] for d, *_ in fitted]) - want).max() < 1e-4
+
+
 def test_fingerprints_resist_shifts():
     r = random.Random(4)
     text = bytes(r.randrange(97, 123) for _ in range(20000))
@@ -150,11 +206,37 @@ def test_token_totals_are_idempotent(spark, tmp_path, library):
 
 
 def test_token_count_query(spark, sf, library):
-    import duckdb
+    found = QUERIES["op6_token_counts"](spark, sf).collect()
+    labels = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    toxic = {r.doc_id for r in labels if r.toxic == 1}
+    poor = {r.doc_id for r in labels if r.quality == 0} - toxic
+    want = {}
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        if r.doc_id in toxic:
+            continue
+        words = r.doc_id in poor
+        size = len((r.text or "").encode().split()) if words else len(library.encode(r.text or "", add_special_tokens=False).ids)
+        total = want.setdefault((r.source, r.lang, "words" if words else "word_bpe_49k"), [0, 0])
+        total[0] += 1
+        total[1] += size
+    assert {(r.source, r.lang, r.tokenizer_version): [r.n_docs, r.n_tokens] for r in found} == want
+
+
+def test_batch_ids_of_any_form(spark, tmp_path):
+    store = token_counts.TokenTotals(spark, f"file://{tmp_path}/t")
+    row = lambda d: spark.createDataFrame([(d, "s", "en", "v", 2)], "doc_id long, source string, lang string, tokenizer_version string, n_tokens long")
+    ids = ["2024/01", "2024", "a@b", "..", "ü %2F", "2024%2F01"]
+    for i, name in enumerate(ids):
+        assert store.apply(name, row(i)) and not store.apply(name, row(i))
+    assert set(store.batches()) == set(ids) and [tuple(r)[-2:] for r in store.totals().collect()] == [(len(ids), 2 * len(ids))]
+    with pytest.raises(ValueError, match="id"):
+        store.apply("", row(1))
+
 
-    n = QUERIES["op6_token_counts"](spark, sf).agg({"n_docs": "sum"}).first()[0]
-    want = duckdb.sql(f"select count(*) from '{sf}/documents.parquet' where doc_id not in (select doc_id from '{sf}/labels.parquet' where toxic = 1)").fetchall()[0][0]
-    assert n == want
+def test_token_counts_of_empty_tables(spark, tmp_path):
+    store = token_counts.TokenTotals(spark, f"file://{tmp_path}/t")
+    assert store.apply("none", token_counts.count_tokens(empty(spark), PATH, "v"), empty(spark).select("doc_id"))
+    assert store.totals().count() == 0 and store.state().count() == 0
 
 
 def test_isotonic_is_the_monotone_least_squares_fit():
