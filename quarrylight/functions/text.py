@@ -73,6 +73,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), total).otherwise(0.0)
 
 
+def normalized(x: Column) -> Column:
+    """The vector at length one; a zero vector stays."""
+    size = F.sqrt(dot(x, x))
+    return F.when(size > 0, F.transform(x, lambda v: v / size)).otherwise(x)
+
+
 def trimmed(x: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(x, r"^\s+|\s+$", "")

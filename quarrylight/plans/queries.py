@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,28 +32,123 @@ def _r(x: str, n: int = 4) -> str:
 
 
 _Q = _TOK.format(f"'{QUERY}'")
-_SCORED = f"""WITH {_CHUNKS}, {_VOTES}, {_OFF}, cand AS (
-  SELECT c.*, coalesce(helpful, 0) AS h, coalesce(noisy, 0) AS z, last_ms FROM chunks c LEFT JOIN votes v USING (doc_id) WHERE doc_id NOT IN (SELECT doc_id FROM off)
-), term AS (SELECT *, {_COV.format(q=_Q, c=_TOK.format("content"))} * 0.3 AS lexical, {_COV.format(q=_Q, c=_TOK.format("title"))} * 0.06 AS overlap,
-  (([1.0::DOUBLE,0.95,0.85,0.75,0.7,0.8])[doc_id % 6 + 1]) * 0.1 AS priority, exp(-(({NOW} - updated_at) / 86400000.0::DOUBLE) / 45) * 0.08 AS fresh,
-  (CASE memory_tier WHEN 'stable' THEN 1.0::DOUBLE WHEN 'working' THEN 0.55 ELSE 0.4 END) * 0.08 AS tier, stability_score * 0.06 AS stable,
-  greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (h * 0.75 * (0.6 + 0.6 * coalesce(exp(-(({NOW} - last_ms) / 86400000.0::DOUBLE) / 45), 0)) - z * 1.1 * (0.65 + 0.35 * coalesce(exp(-(({NOW} - last_ms) / 86400000.0::DOUBLE) / 45), 0) + 0.45 * (1 - exp(-(({NOW} - updated_at) / 86400000.0::DOUBLE) / 90)))) / 3)) * 0.12 AS feedback,
-  CASE WHEN branch_name IS NULL THEN 0.0::DOUBLE WHEN branch_name = 'feature/en' THEN 0.03 ELSE 0.015 END AS branch FROM cand
-), scored AS (SELECT *, {_r("lexical + priority + fresh + tier + stable + feedback + branch + overlap")} AS score FROM term), best AS (
-  SELECT *, row_number() OVER (ORDER BY score DESC, updated_at DESC, doc_id) AS rank FROM scored WHERE score >= 0.2 ORDER BY rank LIMIT 20)"""
-
-
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    found = R.candidates(D.chunks(spark, d), D.disabled(spark, d), D.votes(spark, d))
-    return R.top(R.score(found, QUERY, NOW, branch="feature/en"), 20)
+_PASSAGES = f"""{_CHUNKS}, {_VOTES}, {_OFF}, {_EDGES}, t0 AS (SELECT doc_id, trim(content, ' ') AS t FROM chunks),
+  c0 AS (SELECT doc_id, t, unnest(range(0, greatest(0, ceil((length(t) - 1200) / 1050.0))::INT + 1)) AS k FROM t0),
+  p0 AS (SELECT doc_id, k, trim(substring(t, k * 1050 + 1, 1200), ' ') AS part FROM c0),
+  passages AS (SELECT c.doc_id, (row_number() OVER (PARTITION BY c.doc_id ORDER BY k) - 1)::INT AS chunk_index, part, source_kind, path, title, module_name, language, branch_name, memory_tier, stability_score, updated_at,
+    (['remember','rememberTask','recall','Store.remember()','index','forget','rate'])[c.doc_id % 7 + 1] AS symbol, e.embedding::DOUBLE[] AS e
+    FROM p0 JOIN chunks c USING (doc_id) LEFT JOIN embeddings e ON e.vec_id = c.doc_id WHERE part <> '')"""
+_AGE = f"(({NOW} - updated_at) / 86400000.0::DOUBLE)"
+_LAST = f"coalesce(exp(-(({NOW} - last_ms) / 86400000.0::DOUBLE) / 45), 0)"
+
+
+def _scored_sql(kinds: str, least: float, depth: int) -> str:
+    """The passages of the asked query with their terms, the best ``depth`` of them by place."""
+    cov = lambda c: "(" + _COV.format(q=_Q, c=_TOK.format(c)) + ")"
+    total = "vector + lexical + source_priority + freshness + tier_boost + stability_boost + path_boost + symbol_boost + branch_boost + title_boost + feedback_boost + relation_boost"
+    return f"""WITH {_PASSAGES}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0),
+cand AS (
+  SELECT p.*, coalesce(helpful, 0) AS h, coalesce(noisy, 0) AS z, last_ms FROM passages p LEFT JOIN votes v USING (doc_id)
+  WHERE doc_id NOT IN (SELECT doc_id FROM off) AND contains(lower(path), '/en/') AND language = 'en' AND contains(lower(symbol), 'remember')
+    AND updated_at >= {NOW} - 150 * 86400000::BIGINT AND source_kind IN ({kinds})
+), rel AS (SELECT doc_id, {_r("sum(weight)")} AS r FROM edges WHERE (edge_type = 'branch' AND target_key = 'feature/en') OR (edge_type = 'language' AND target_key = 'en') GROUP BY 1),
+term AS (SELECT cand.*,
+  CASE WHEN e IS NULL THEN 0.0::DOUBLE ELSE list_dot_product(e, q.v) / (sqrt(list_dot_product(e, e)) * sqrt(list_dot_product(q.v, q.v))) END * 0.6::DOUBLE AS vector,
+  {cov("part")} * 0.3::DOUBLE AS lexical,
+  (([1.0::DOUBLE,0.95,0.85,0.75,0.7,0.8])[doc_id % 6 + 1]) * 0.1::DOUBLE AS source_priority, least(1.0::DOUBLE, exp(-{_AGE} / 45) + 0.15::DOUBLE) * 0.08::DOUBLE AS freshness,
+  (CASE memory_tier WHEN 'stable' THEN 1.0::DOUBLE WHEN 'working' THEN 0.55 ELSE 0.4 END) * 0.08::DOUBLE AS tier_boost, stability_score * 0.06::DOUBLE AS stability_boost,
+  0.04::DOUBLE + CASE WHEN contains(lower(path), 'src1/x/7.md') OR lower(path) LIKE '%/7.md' OR contains(lower(path), '12.md') THEN 0.07::DOUBLE ELSE 0 END AS path_boost,
+  CASE symbol WHEN 'rememberTask' THEN 0.045::DOUBLE ELSE 0.09::DOUBLE END AS symbol_boost,
+  CASE WHEN branch_name IS NULL THEN 0.0::DOUBLE WHEN branch_name = 'feature/en' THEN 0.03 ELSE 0.015 END AS branch_boost,
+  {cov("title")} * 0.06::DOUBLE AS title_boost,
+  greatest(-1.0::DOUBLE, least(1.0::DOUBLE, (h * 0.75 * (0.6 + 0.6 * {_LAST}) - z * 1.1 * (0.65 + 0.35 * {_LAST} + 0.45 * (1 - exp(-{_AGE} / 90)))) / 3)) * 0.12::DOUBLE AS feedback_boost,
+  least(0.08::DOUBLE, coalesce(r, 0.0::DOUBLE) * 0.08::DOUBLE * 0.4::DOUBLE) AS relation_boost
+  FROM cand LEFT JOIN rel USING (doc_id), q
+), scored AS (SELECT *, {total} AS s0 FROM term), best AS (
+  SELECT *, row_number() OVER (ORDER BY {_r("s0")} DESC, updated_at DESC, chunk_index, doc_id) AS r0 FROM scored WHERE s0 >= {least}::DOUBLE ORDER BY r0 LIMIT {depth})"""
+
+
+def _reranked_sql(kinds: str, least: float, depth: int, top_k: int) -> str:
+    """Both passes: scores s1 and s2, parts m1 and m2, places r1 and r2."""
+    cov = lambda c: "(" + _COV.format(q=_Q, c=c if c.startswith("list") else _TOK.format(c)) + ")"
+    tags = "list_concat(" + _TOK.format("source_kind") + ", " + _TOK.format("language") + ")"
+    phrase = f"CASE WHEN contains(lower(part), '{QUERY}') THEN 1.0::DOUBLE ELSE 0.0 END"
+    module = f"CASE WHEN len(list_filter({_Q}, lambda t: contains(lower(module_name), t))) > 0 THEN 0.05::DOUBLE ELSE 0 END"
+    head = f"{phrase} * 0.35::DOUBLE + {cov('part')} * 0.3::DOUBLE + {cov(tags)} * 0.15::DOUBLE + {module} + {cov('title')} * 0.05::DOUBLE + 0.05::DOUBLE / r0"
+    fresh = f"CASE WHEN {_AGE} <= 7 THEN 0.04::DOUBLE WHEN {_AGE} <= 30 THEN 0.02::DOUBLE ELSE 0 END"
+    steady = "CASE WHEN source_kind IN ('decision','manual') THEN 0.06::DOUBLE WHEN source_kind = 'project' THEN 0.02::DOUBLE ELSE 0 END"
+    model = f"greatest(0.0::DOUBLE, least(1.0::DOUBLE, {phrase} * 0.25::DOUBLE + {cov('part')} * 0.25::DOUBLE + {cov('title')} * 0.13::DOUBLE + {cov('symbol')} * 0.13::DOUBLE + {cov('module_name')} * 0.07::DOUBLE + {cov('path')} * 0.03::DOUBLE + {cov(tags)} * 0.04::DOUBLE + {steady} + {fresh}))"
+    place = lambda tail, s: f"row_number() OVER (ORDER BY {tail} {_r(s)} DESC, updated_at DESC, chunk_index, doc_id)"
+    one, two = max(12, top_k), max(6, top_k)
+    return f"""{_scored_sql(kinds, least, depth)}, a AS (SELECT *, CASE WHEN r0 <= {one} THEN ({head}) * 0.2::DOUBLE ELSE 0.0 END AS m1 FROM best),
+b AS (SELECT *, CASE WHEN r0 <= {one} THEN s0 * 0.8::DOUBLE + m1 ELSE s0 END AS s1 FROM a), c AS (SELECT *, {place(f"CASE WHEN r0 > {one} THEN r0 ELSE 0 END,", "s1")} AS r1 FROM b),
+f AS (SELECT *, CASE WHEN r1 <= {two} THEN ({model}) * 0.15::DOUBLE ELSE 0.0 END AS m2 FROM c), g AS (SELECT *, CASE WHEN r1 <= {two} THEN s1 * 0.85::DOUBLE + m2 ELSE s1 END AS s2 FROM f),
+ranked AS (SELECT *, {place(f"CASE WHEN r1 > {two} THEN r1 ELSE 0 END,", "s2")}::INT AS r2 FROM g)"""
+
+
+def _explained_sql(kinds: str, least: float, top_k: int) -> str:
+    fields = {**{t: t for t in R.TERMS}, "rerank_model": "m2", "rerank": "m1 + m2", "total": "s2"}
+    tests = [f"CASE WHEN {test} THEN '{{}}' END" for test, *_ in R.REASONS]
+    lists = [", ".join(t.format(text) for t, text in zip(tests, texts, strict=True)) for texts in ([r for _, r, *_ in R.REASONS], [f"{k}:{t}" for *_, k, t in R.REASONS])]
+    joined = [f"array_to_string(list_filter([{x}], lambda x: x IS NOT NULL)[1:4], '; ')" for x in lists]
+    return f"""{_reranked_sql(kinds, least, max(12, top_k), top_k)}, x AS (SELECT doc_id, chunk_index, r2 AS rank, {", ".join(f"{_r(c)} AS {n}" for n, c in fields.items())} FROM ranked WHERE r2 <= {top_k})
+  SELECT *, {joined[0]} AS reasons, {joined[1]} AS cards FROM x"""
+
+
+_ALL = "'manual','decision','diary','project','imported','log'"
+
+
+def _probe(spark: SparkSession, d: str) -> tuple[float, ...]:
+    """The query's vector, one row of the embeddings, at length one."""
+    row = D.table(spark, d, "embeddings").where("vec_id = 0").select(T.normalized(F.col("embedding").cast("array<double>")).alias("v")).first()
+    return tuple(row.v) if row else ()
+
+
+def _asked(spark: SparkSession, d: str) -> R.Asked:
+    return R.Asked(QUERY, _probe(spark, d), path="/EN/", related=("src1/x/7.md", "12.md"), symbol="remember", branch="feature/en", language="en", last_days=150, top_k=20)
+
+
+def _scored(spark: SparkSession, d: str, asked: R.Asked) -> DataFrame:
+    return R.score(R.found(D.passages(spark, d), D.disabled(spark, d), D.votes(spark, d), asked, NOW), asked, NOW, D.edges(spark, d))
 
 
 def recall_hybrid_topk(spark, d):
-    return _ranked(spark, d).select("doc_id", "source_kind", "path", "score")
+    """All twelve terms, without reranking."""
+    asked = _asked(spark, d)
+    best = R.top(_scored(spark, d, asked), asked.top_k, asked.min_score)
+    return best.select("doc_id", "chunk_index", "source_kind", "path", *(T.rounded(F.col(t)).alias(t) for t in ("vector", "symbol_boost", "path_boost", "relation_boost", "freshness", "score")))
 
 
 def recall_rerank_head(spark, d):
-    return R.rerank_head(_ranked(spark, d), 12).select("doc_id", "in_tail", "score")
+    """Both rerank passes over 20 rows of which the first takes 12 and the second 8."""
+    asked = replace(_asked(spark, d), top_k=8)
+    best = R.rerank_head(R.top(_scored(spark, d, asked), 20, asked.min_score), asked, NOW)
+    return best.select("doc_id", "chunk_index", "rank", "in_tail", T.rounded(F.col("rerank")).alias("rerank"), T.rounded(F.col("rerank_model")).alias("rerank_model"), T.rounded(F.col("score")).alias("score"))
+
+
+def _explained(spark, d, asked):
+    rows = R.recall(D.passages(spark, d), D.disabled(spark, d), D.votes(spark, d), asked, NOW, D.edges(spark, d))
+    return R.explained(rows).select("doc_id", "chunk_index", "rank", "score_details.*", F.array_join("reasons", "; ").alias("reasons"), F.array_join(F.transform("cards", lambda c: F.concat_ws(":", c["kind"], c["title"])), "; ").alias("cards"))
+
+
+def recall_explained(spark, d):
+    """Eight rows with their fifteen score fields, reasons and cards."""
+    return _explained(spark, d, replace(_asked(spark, d), top_k=8))
+
+
+def recall_fast(spark, d):
+    return _explained(spark, d, replace(_asked(spark, d), top_k=8).preset("fast"))
+
+
+def recall_deep(spark, d):
+    return _explained(spark, d, replace(_asked(spark, d), top_k=8).preset("deep"))
+
+
+def recall_passages(spark, d):
+    """Candidates by module, part of a symbol and stated dates, one of which can't be read."""
+    asked = R.Asked(QUERY, module="src1", symbol="task", date_from="2023-10-01", date_to="no date")
+    rows = R.found(D.passages(spark, d), D.disabled(spark, d), D.votes(spark, d), asked, NOW)
+    return rows.select("doc_id", "chunk_index", "symbol", "helpful")
 
 
 def recall_filtered_candidates(spark, d):
@@ -145,8 +242,12 @@ _SIDES = "sides AS (SELECT subject, doc_id, max((pol = 'for')::INT) AS f, max((p
 _JAC = "CASE WHEN len({0}) > 0 AND len({1}) > 0 THEN len(list_distinct(list_intersect({0}, {1})))::DOUBLE / len(list_distinct(list_concat({0}, {1}))) ELSE 0.0 END"
 
 SQL = {
-    "recall_hybrid_topk": f"{_SCORED} SELECT doc_id, source_kind, path, score FROM best",
-    "recall_rerank_head": f"{_SCORED} SELECT doc_id, rank > 12 AS in_tail, {_r('CASE WHEN rank > 12 THEN score ELSE score * 0.8 + least(1.0, lexical / 0.3 * 0.3 + overlap / 0.06 * 0.05 + 0.05 / rank) * 0.2 END')} AS score FROM best",
+    "recall_hybrid_topk": f"{_scored_sql(_ALL, 0.2, 20)} SELECT doc_id, chunk_index, source_kind, path, {', '.join(_r(t) + ' AS ' + t for t in ('vector', 'symbol_boost', 'path_boost', 'relation_boost', 'freshness'))}, {_r('s0')} AS score FROM best",
+    "recall_rerank_head": f"{_reranked_sql(_ALL, 0.2, 20, 8)} SELECT doc_id, chunk_index, r2 AS rank, r1 > 8 AS in_tail, {_r('m1')} AS rerank, {_r('m2')} AS rerank_model, {_r('s2')} AS score FROM ranked",
+    "recall_explained": _explained_sql(_ALL, 0.2, 8),
+    "recall_fast": _explained_sql("'manual','decision','project'", 0.24, 5),
+    "recall_deep": _explained_sql("'manual','decision','diary','project','imported'", 0.15, 14),
+    "recall_passages": f"WITH {_PASSAGES} SELECT doc_id, chunk_index, symbol, coalesce(helpful, 0) AS helpful FROM passages LEFT JOIN votes USING (doc_id) WHERE module_name = 'src1' AND contains(lower(symbol), 'task') AND updated_at >= epoch_ms(TIMESTAMP '2023-10-01 00:00:00') AND doc_id NOT IN (SELECT doc_id FROM off)",
     "recall_filtered_candidates": f"WITH {_CHUNKS}, {_VOTES}, {_OFF} SELECT doc_id, path, coalesce(helpful, 0) AS helpful, coalesce(noisy, 0) AS noisy FROM chunks LEFT JOIN votes USING (doc_id) WHERE source_kind IN ('manual', 'decision') AND path ILIKE '%/EN/%' AND language = 'en' AND updated_at >= {NOW - 60 * S.DAY_MS} AND doc_id NOT IN (SELECT doc_id FROM off)",
     "vector_topk": f"SELECT e.vec_id, {_r('list_dot_product(e.embedding::DOUBLE[], p.embedding::DOUBLE[])', 5)} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) p ORDER BY score DESC, e.vec_id LIMIT 8",
     "tokenize_counts": f"SELECT doc_id, len({_TOK.format('text')})::INT AS tokens, len(list_distinct({_TOK.format('text')}))::INT AS distinct_tokens, (greatest(1, ceil(length(text) / 4.0)) + 24)::INT AS estimate FROM documents",
@@ -163,4 +264,4 @@ SQL = {
     "debounce_sessions": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS o FROM events), s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts) AS w FROM g) SELECT user_id, count(*) AS items, count(DISTINCT event_type)::INT AS texts, epoch_us(min(ts)) AS opened_us FROM s GROUP BY user_id, w",
     "title_jaccard": f"WITH {_CHUNKS}, c AS (SELECT doc_id, source_kind, memory_tier, module_name, {_TOK.format('title')} AS t, ({_TOK.format('content')})[1:64] AS b, updated_at FROM chunks) SELECT x.doc_id AS left_id, y.doc_id AS right_id, {_r('(' + _JAC.format('x.t', 'y.t') + ') * 0.36 + (' + _JAC.format('x.b', 'y.b') + ') * 0.34 + CASE WHEN x.module_name = y.module_name THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN x.source_kind = y.source_kind THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN x.memory_tier = y.memory_tier THEN 0.04::DOUBLE ELSE 0 END + greatest(0.0::DOUBLE, 1 - abs(x.updated_at - y.updated_at) / 86400000.0::DOUBLE / 90) * 0.06')} AS score FROM c x JOIN c y ON y.doc_id = x.doc_id + 8",
 }
-QUERIES = {f.__name__: f for f in (recall_hybrid_topk, recall_rerank_head, recall_filtered_candidates, vector_topk, tokenize_counts, chunk_documents, text_normalisers, branch_rollup, kind_summary, tier_summary, feedback_totals, graph_one_hop, conflict_clusters, change_detection, upsert_latest, debounce_sessions, title_jaccard)}
+QUERIES = {f.__name__: f for f in (recall_hybrid_topk, recall_rerank_head, recall_explained, recall_fast, recall_deep, recall_passages, recall_filtered_candidates, vector_topk, tokenize_counts, chunk_documents, text_normalisers, branch_rollup, kind_summary, tier_summary, feedback_totals, graph_one_hop, conflict_clusters, change_detection, upsert_latest, debounce_sessions, title_jaccard)}

@@ -16,8 +16,8 @@ NOW, HOUR = D.NOW_MS, 3_600_000
 
 
 def context_for_task(spark, d):
-    found = recall.candidates(D.chunks(spark, d), D.disabled(spark, d), D.votes(spark, d))
-    scored = recall.score(found, QUERY, NOW, branch="feature/en")
+    found = recall.candidates(D.chunks(spark, d), D.disabled(spark, d), D.votes(spark, d)).withColumns({"symbol": F.lit(None).cast("string"), "chunk_index": F.lit(0)})
+    scored = recall.score(found, recall.Asked(QUERY, branch="feature/en"), NOW)
     return C.results(spark, C.for_task(scored, "fix the crash in the parser", edges=D.edges(spark, d), budget=6, tokens=6000))
 
 
