@@ -1,6 +1,6 @@
 """All registered queries of the engine and their SQL."""
 
-from . import notes, planning, queries, records, upkeep
+from . import execution, notes, planning, queries, records, upkeep
 
-QUERIES = queries.QUERIES | planning.QUERIES | upkeep.QUERIES | records.QUERIES | notes.QUERIES
-SQL = queries.SQL | planning.SQL | upkeep.SQL | records.SQL | notes.SQL
+QUERIES = queries.QUERIES | planning.QUERIES | upkeep.QUERIES | records.QUERIES | notes.QUERIES | execution.QUERIES
+SQL = queries.SQL | planning.SQL | upkeep.SQL | records.SQL | notes.SQL | execution.SQL
