@@ -54,14 +54,14 @@ def wanted(path: Column, include=INCLUDE, exclude=EXCLUDE) -> Column:
 
 
 def underscored(spark: SparkSession, root: str) -> list[str]:
-    """Folders and files whose names start with an underscore: Spark lists them only if they are named to it."""
+    """Folders whose names start with an underscore: Spark lists them only if they are named to it."""
     jvm = spark.sparkContext._jvm
     fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found, todo = [], [root]
     while todo:  # one listing for each folder, as Spark's own index does
         for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(todo.pop())):
             path = f.getPath()
-            if path.getName().startswith("_"):
+            if f.isDirectory() and path.getName().startswith("_"):
                 found.append(path.toString())
             if f.isDirectory() and not path.getName().startswith("."):
                 todo.append(path.toString())
@@ -71,12 +71,12 @@ def underscored(spark: SparkSession, root: str) -> list[str]:
 def scan(spark: SparkSession, root: str, include=INCLUDE, exclude=EXCLUDE, max_bytes: int | None = None) -> DataFrame:
     """path (from ``root`` on), size_bytes, mtime_ms, content, checksum of a tree's files; text that isn't UTF-8 is repaired.
 
-    Paths are filtered before contents are read. With ``max_bytes`` the contents of larger files are null.
+    Files whose own names start with an underscore are left out, as Spark does not read them. Paths are filtered before contents are read. With ``max_bytes`` the contents of larger files are null.
     """
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([base, *underscored(spark, base)])
     path = F.regexp_replace(F.col("path"), "^.*?" + re.escape(re.sub("^[a-z]+:/*", "/", base)) + "/", "")
-    rows = files.select(F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))).alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
+    rows = files.select(path.alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
     rows = rows.where(wanted(F.col("path"), include, exclude))
     raw = F.col("content") if max_bytes is None else F.when(F.col("size_bytes") <= max_bytes, F.col("content"))
     text = F.decode(raw, "UTF-8")
