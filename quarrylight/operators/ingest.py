@@ -5,6 +5,7 @@ from __future__ import annotations
 import ast
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -185,25 +186,29 @@ class HashCounts:
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.dims), np.int16)
+        self.rows = np.zeros((1024, self.dims), np.float32)
 
     def _add(self, token: str) -> int:
         raw = np.frombuffer(hashlib.sha256(token.encode()).digest(), np.uint8)
         at = self.place[token] = len(self.place)
         if at == len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        np.add.at(self.rows[at], raw % self.dims, np.where(np.roll(raw, -1) % 2 == 0, 1, -1).astype(np.int16))
+        np.add.at(self.rows[at], raw % self.dims, np.where(np.roll(raw, -1) % 2 == 0, 1, -1).astype(np.float32))
         return at
 
     def __call__(self, texts: pd.Series) -> np.ndarray:
         out = np.zeros((len(texts), self.dims), np.int64)
+        place = self.place
         for i, text in enumerate(texts):
             tokens = (text or "").lower().split()
             for k in range(0, len(tokens), self.block):
-                if len(self.place) > self.keep:
+                if len(place) > self.keep:
                     self.clear()
-                ids = [at if (at := self.place.get(t)) is not None else self._add(t) for t in tokens[k : k + self.block]]
-                out[i] += self.rows[ids].sum(axis=0, dtype=np.int64)
+                    place = self.place
+                seen = Counter(tokens[k : k + self.block])  # each distinct token once
+                ids = [at if (at := place.get(t)) is not None else self._add(t) for t in seen]
+                counts = np.fromiter(seen.values(), np.float32, len(ids))
+                out[i] += np.rint(counts @ self.rows[ids]).astype(np.int64)  # exact: sums below 2 ** 24
         return out
 
 

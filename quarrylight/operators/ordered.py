@@ -6,11 +6,15 @@ The same step functions run on streams.
 
 from __future__ import annotations
 
+from collections import namedtuple
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 Step = Callable[[Any, Any], tuple[Any, tuple | None]]
 
@@ -18,28 +22,35 @@ Step = Callable[[Any, Any], tuple[Any, tuple | None]]
 def fold(rows: DataFrame, keys: list[str], order: list[str], step: Step, schema: str, last: Callable[[Any], tuple | None] | None = None) -> DataFrame:
     """Rows of each key in order through ``step(state, row) -> (state, values or None)``; ``last(state)`` closes a key.
 
-    The state starts as None. Output rows are the key's values and those of the step.
+    The state starts as None. Output rows are the key's values and those of the step. Null keys are one key. A
+    key is one task's: each step needs the state before it.
     """
-    names = [p.strip().split()[0] for p in schema.split(",")]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state = None, None
-        for frame in frames:
+    target = to_arrow_schema(StructType.fromDDL(schema))
+
+    def emit(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out, strict=True) if out else [()] * len(target)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        state = None
+        for batch in batches:
+            row_of = namedtuple("row_of", batch.schema.names)
+            own = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
             out = []
-            for row in frame.itertuples(index=False):
-                now = tuple(getattr(row, k) for k in keys)
-                if now != key:
-                    if key is not None and last and (values := last(state)) is not None:
-                        out.append((*key, *values))
+            for now, values in zip(zip(*own, strict=True), zip(*(c.to_pylist() for c in batch.columns), strict=True), strict=True):
+                if now != key:  # null equals null
+                    if key is not None and last and (done := last(state)) is not None:
+                        out.append((*key, *done))
                     key, state = now, None
-                state, values = step(state, row)
-                if values is not None:
-                    out.append((*key, *values))
-            yield pd.DataFrame(out, columns=names)
-        if key is not None and last and (values := last(state)) is not None:
-            yield pd.DataFrame([(*key, *values)], columns=names)
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+                state, made = step(state, row_of(*values))
+                if made is not None:
+                    out.append((*key, *made))
+            yield emit(out)
+        if key is not None and last and (done := last(state)) is not None:
+            yield emit([(*key, *done)])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def debounce_step(gap: int, cap: int, items: int, tokens: int) -> Step:

@@ -61,6 +61,18 @@ def resolve_domain(domains: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(keys, F.lower("term") == F.col("k")).groupBy("term").agg(F.min("name").alias("name"))
 
 
+def match_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, name: str, term: str, size: int = 3) -> DataFrame:
+    """Distinct (``key``, ``name``) of texts that contain a term; null and empty terms match nothing.
+
+    A text that contains a term contains the term's first ``size`` characters, so texts and terms meet
+    under that gram (shorter terms under the whole of themselves) and are compared only there.
+    """
+    asked = terms.where(F.coalesce(F.col(term), F.lit("")) != "").select(name, term, F.substring(term, 1, size).alias("_g"))
+    grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substr(F.col(text), i, F.lit(n)))
+    every = texts.select(key, text, F.explode(F.array_distinct(F.flatten(F.array(*(grams(n) for n in range(1, size + 1)))))).alias("_g"))
+    return every.join(asked, "_g").where(F.contains(F.col(text), F.col(term))).select(key, name).distinct()
+
+
 def domain_index(domains: DataFrame, files: DataFrame) -> DataFrame:
     """name, section_count, file_count; folders and files that start with an underscore do not count."""
     own = files.where("path rlike '\\\\.md$' and not path rlike '(^|/)_'").groupBy("name").agg(F.count(F.lit(1)).alias("file_count"))

@@ -258,9 +258,9 @@ SQL = {
     "tier_summary": f"WITH {_CHUNKS} SELECT coalesce(memory_tier, 'unknown') AS tier, count(*) AS n FROM chunks GROUP BY 1",
     "feedback_totals": "SELECT user_id, count(*) FILTER (event_type IN ('purchase','signup')) AS helpful, count(*) FILTER (event_type = 'error') AS noisy, count(*) FILTER (event_type IN ('purchase','signup')) - count(*) FILTER (event_type = 'error') AS net FROM events GROUP BY 1",
     "graph_one_hop": f"WITH {_CHUNKS}, {_EDGES} SELECT b.doc_id, {_r('sum(a.weight * b.weight)')} AS score, count(DISTINCT (b.edge_type, b.target_key)) AS hits FROM edges a JOIN edges b USING (edge_type, target_key) WHERE edge_type IN ('module','branch') AND a.doc_id IN (0, 1) AND b.doc_id NOT IN (0, 1) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 12",
-    "conflict_clusters": rf"WITH claims AS (SELECT DISTINCT doc_id, 'for' AS pol, unnest(regexp_extract_all(lower(text), '\bthe ([a-z]+)', 1)) AS subject FROM documents UNION SELECT DISTINCT doc_id, 'against', unnest(regexp_extract_all(lower(text), '\bof ([a-z]+)', 1)) FROM documents), {_SIDES}, n AS (SELECT subject, count(*) AS docs, sum(f) AS f, sum(a) AS a, sum(f * a) AS b FROM sides GROUP BY 1), p AS (SELECT *, (f * a - b - b * (b - 1) // 2)::BIGINT AS pairs FROM n WHERE f > 0 AND a > 0) SELECT subject, docs, pairs, {_r('least(1.0::DOUBLE, 0.836::DOUBLE + (least(0.12::DOUBLE, greatest(0, docs - 2) * 0.05::DOUBLE) + least(0.06::DOUBLE, greatest(0, pairs - 1) * 0.02::DOUBLE)))')} AS score FROM p WHERE pairs > 0",
+    "conflict_clusters": rf"WITH claims AS (SELECT DISTINCT doc_id, 'for' AS pol, unnest(regexp_extract_all(lower(text), '\bthe ([a-z]+)', 1)) AS subject FROM documents UNION SELECT DISTINCT doc_id, 'against', unnest(regexp_extract_all(lower(text), '\bof ([a-z]+)', 1)) FROM documents), {_SIDES}, n AS (SELECT subject, count(*) AS docs, sum(f) AS f, sum(a) AS a, sum(f * a) AS b FROM sides GROUP BY 1), p AS (SELECT *, (f * a - b)::BIGINT AS pairs FROM n WHERE f > 0 AND a > 0) SELECT subject, docs, pairs, {_r('least(1.0::DOUBLE, 0.836::DOUBLE + (least(0.12::DOUBLE, greatest(0, docs - 2) * 0.05::DOUBLE) + least(0.06::DOUBLE, greatest(0, pairs - 1) * 0.02::DOUBLE)))')} AS score FROM p WHERE pairs > 0",
     "change_detection": "WITH n AS (SELECT url AS path, sha1(html) AS c FROM pages), o AS (SELECT CASE WHEN page_id % 5 = 0 THEN url || '#old' ELSE url END AS path, CASE WHEN page_id % 3 = 0 THEN 'old' ELSE sha1(html) END AS c FROM pages) SELECT CASE WHEN n.path IS NULL THEN 'removed' WHEN o.path IS NULL THEN 'new' WHEN o.c = n.c THEN 'unchanged' ELSE 'changed' END AS status, count(*) AS n FROM o FULL JOIN n ON o.path = n.path GROUP BY 1",
-    "upsert_latest": f"SELECT o_orderkey, {_r('CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice + 1 ELSE o_totalprice END', 2)} AS total FROM orders",
+    "upsert_latest": f"WITH b AS (SELECT o_orderkey, o_totalprice, o_orderdate, 0 AS new FROM orders UNION ALL SELECT o_orderkey, o_totalprice + 1, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate + INTERVAL 1 DAY ELSE o_orderdate - INTERVAL 1 DAY END, 1 FROM orders), r AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY o_orderdate DESC, new DESC) AS k FROM b) SELECT o_orderkey, {_r('o_totalprice', 2)} AS total FROM r WHERE k = 1",
     "debounce_sessions": "WITH g AS (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 1 HOUR THEN 0 ELSE 1 END AS o FROM events), s AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts) AS w FROM g) SELECT user_id, count(*) AS items, count(DISTINCT event_type)::INT AS texts, epoch_us(min(ts)) AS opened_us FROM s GROUP BY user_id, w",
     "title_jaccard": f"WITH {_CHUNKS}, c AS (SELECT doc_id, source_kind, memory_tier, module_name, {_TOK.format('title')} AS t, ({_TOK.format('content')})[1:64] AS b, updated_at FROM chunks) SELECT x.doc_id AS left_id, y.doc_id AS right_id, {_r('(' + _JAC.format('x.t', 'y.t') + ') * 0.36 + (' + _JAC.format('x.b', 'y.b') + ') * 0.34 + CASE WHEN x.module_name = y.module_name THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN x.source_kind = y.source_kind THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN x.memory_tier = y.memory_tier THEN 0.04::DOUBLE ELSE 0 END + greatest(0.0::DOUBLE, 1 - abs(x.updated_at - y.updated_at) / 86400000.0::DOUBLE / 90) * 0.06')} AS score FROM c x JOIN c y ON y.doc_id = x.doc_id + 8",
 }

@@ -12,6 +12,7 @@ from ..operators import hygiene as H
 from ..operators import ingest as I
 from ..operators import rerank as R
 from ..operators.governance import claims, conflict_clusters
+from ..operators.records import match_terms
 from ..sources import tables as D
 from ..sources import tasks as K
 from .planning import _cue
@@ -126,8 +127,7 @@ def replace_documents(spark, d):
 
 
 def disable_log(spark, d):
-    e = D.table(spark, d, "events").where("event_type in ('error', 'signup')")
-    return I.last_state(e, "user_id", "event_type", "ts", "event_id").select("user_id", "event_type")
+    return I.last_state(D.table(spark, d, "events"), "user_id", "event_type", "ts", "event_id").select("user_id", "event_type")
 
 
 def symbol_asof(spark, d):
@@ -189,7 +189,8 @@ def domain_matches(spark, d):
     """Domains (one for each part type) that a task names, by name or alias."""
     domains = D.table(spark, d, "part").select(F.lower("p_type").alias("name")).distinct().withColumns({"slug": T.domain_slug(F.col("name")), "alias": F.lower(F.element_at(F.split("name", " "), -1))})
     tasks = D.table(spark, d, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("task"))
-    hit = tasks.join(F.broadcast(domains), F.contains("task", "name") | F.contains("task", F.col("alias")))
+    terms = domains.select("slug", F.explode(F.array("name", "alias")).alias("term"))
+    hit = match_terms(tasks, terms, "p_partkey", "task", "slug", "term")
     return hit.groupBy("slug").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -211,18 +212,20 @@ SQL = {
     "archive_plan": f"WITH {_CHUNKS} SELECT doc_id, 'cold' AS memory_tier, CASE source_kind WHEN 'diary' THEN 0.24::DOUBLE ELSE 0.33 END AS stability_score FROM chunks WHERE source_kind IN ('diary','imported') AND updated_at <= {NOW - 45 * DAY}",
     "metadata_patch": f"WITH {_CHUNKS}, p AS (SELECT source_kind IN ('diary','imported') AND updated_at <= {NOW - 45 * DAY} AS old, * FROM chunks) SELECT CASE WHEN old THEN 'cold' ELSE memory_tier END AS memory_tier, count(*) AS n, {_r('avg(CASE WHEN NOT old THEN stability_score WHEN source_kind = ' + chr(39) + 'diary' + chr(39) + ' THEN 0.24::DOUBLE ELSE 0.33::DOUBLE END)')} AS stability FROM p GROUP BY 1",
     "cleanup_actions": f"WITH {_SRC}, a AS (SELECT 'archive_stale_memories' AS action, 2 AS lv, language FROM src WHERE {_STALE} UNION ALL SELECT 'disable_noisy_sources', 2, language FROM src WHERE {_NOISY} UNION ALL SELECT 'disable_noisy_sources', 3, language FROM src WHERE {_NOISY} AND source_kind = 'decision'), g AS (SELECT action, lv, language, count(*) AS n FROM a GROUP BY ALL) SELECT action, CASE max(lv) WHEN 3 THEN 'high' ELSE 'medium' END AS priority, max(n) AS count, array_to_string(list_sort(list_distinct(list(language))), ',') AS subjects FROM g GROUP BY 1",
-    "consolidation_groups": f"WITH RECURSIVE {_CHUNKS}, k AS (SELECT doc_id, {_MT.format('title')} AS t, {_MT.format('content')} AS b, language AS parent, source_kind, memory_tier, updated_at FROM chunks), c AS (SELECT min(doc_id) AS class_id, max(updated_at) AS tm, t, b, parent, source_kind, memory_tier FROM k GROUP BY ALL), m AS (SELECT doc_id, class_id FROM k JOIN c USING (t, b, parent, source_kind, memory_tier)), l AS (SELECT x.class_id AS a, y.class_id AS b, {_r('(' + _JAC.format('x.t', 'y.t') + ') * 0.36::DOUBLE + (' + _JAC.format('x.b', 'y.b') + ') * 0.34::DOUBLE + CASE WHEN x.parent = y.parent THEN 0.12::DOUBLE ELSE 0 END + CASE WHEN x.source_kind = y.source_kind THEN 0.08::DOUBLE ELSE 0 END + CASE WHEN x.memory_tier = y.memory_tier THEN 0.04::DOUBLE ELSE 0 END + greatest(0.0::DOUBLE, 1 - abs(x.tm - y.tm) / 86400000.0::DOUBLE / 90) * 0.06::DOUBLE')} AS score FROM c x JOIN c y ON x.class_id < y.class_id), link AS (SELECT * FROM l WHERE score >= 0.8::DOUBLE), e AS (SELECT a AS u, b AS v FROM link UNION SELECT b, a FROM link), r AS (SELECT u, u AS v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v), comp AS (SELECT u, min(v) AS component FROM r GROUP BY 1), pl AS (SELECT doc_id, coalesce(component, class_id) AS group_id FROM m LEFT JOIN comp ON u = class_id), me AS (SELECT component AS group_id, {_r('avg(score)')} AS group_score FROM link JOIN comp ON u = a GROUP BY 1), sz AS (SELECT group_id, count(*) AS n FROM pl GROUP BY 1 HAVING count(*) > 1) SELECT doc_id, group_id, n, group_score FROM pl JOIN sz USING (group_id) LEFT JOIN me USING (group_id)",
     "conflict_resolutions": rf"WITH {_DEC}, {_CL}, s AS (SELECT subject, doc_id, max((pol = 'for')::INT) AS f, max((pol = 'against')::INT) AS a FROM claims GROUP BY 1, 2), n AS (SELECT subject, count(*) AS docs, sum(f) AS f, sum(a) AS a, sum(f * a) AS b FROM s GROUP BY 1), p AS (SELECT subject, docs, (f * a - b - b * (b - 1) // 2)::BIGINT AS pairs FROM n WHERE f > 0 AND a > 0) SELECT subject, 'Canonical ' || trim(regexp_replace(subject, '[-_/]+', ' ', 'g')) || ' decision' AS title, {_r(_r('least(1.0::DOUBLE, 0.836::DOUBLE + (least(0.12::DOUBLE, greatest(0, docs - 2) * 0.05::DOUBLE) + least(0.06::DOUBLE, greatest(0, pairs - 1) * 0.02::DOUBLE)))') + ' + 0.04::DOUBLE')} AS score FROM p WHERE pairs > 0 ORDER BY score DESC, subject LIMIT 6",
     "plan_validation": f"WITH {_SRC}, n AS (SELECT o_custkey AS plan_id, count(s.doc_id) AS found, count(*) FILTER (s.doc_id IS NULL) AS missing, count(*) FILTER (is_disabled) AS disabled, count(*) FILTER (source_kind <> 'decision') AS others FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) o LEFT JOIN src s ON s.doc_id = o_orderkey GROUP BY 1), p AS (SELECT c_custkey AS plan_id, coalesce(found, 0) AS found, coalesce(missing, 0) AS missing, coalesce(disabled, 0) AS disabled, coalesce(others, 0) AS others, c_acctbal FROM customer LEFT JOIN n ON plan_id = c_custkey), w AS (SELECT *, list_filter([CASE WHEN found < 2 THEN 'too few sources' END, CASE WHEN missing > 0 THEN 'missing sources' END, CASE WHEN others > 0 THEN 'not all are decisions' END, CASE WHEN plan_id % 4 = 0 THEN 'empty title' END, CASE WHEN disabled > 0 THEN 'disabled sources' END, CASE WHEN NOT c_acctbal > 0 THEN 'inputs stay active' END], lambda x: x IS NOT NULL) AS l FROM p) SELECT plan_id, found, missing, disabled, len(l) = 0 AS executable, array_to_string(l, '|') AS warnings FROM w",
     "resolution_follow_ups": f"WITH {_SRC}, n AS (SELECT o_custkey AS plan_id, count(*) AS expected, count(*) FILTER (is_disabled) AS disabled, count(*) FILTER (is_disabled AND updated_at <= {NOW - 45 * DAY}) AS ready FROM (SELECT DISTINCT o_custkey, o_orderkey FROM orders) o JOIN src s ON s.doc_id = o_orderkey GROUP BY 1), p AS (SELECT c_custkey AS plan_id, coalesce(expected, 0) AS expected, coalesce(disabled, 0) AS disabled, coalesce(ready, 0) AS ready, c_custkey IN (SELECT doc_id FROM src WHERE source_kind = 'decision') AS there FROM customer LEFT JOIN n ON plan_id = c_custkey) SELECT plan_id, expected, disabled, ready, there AND expected = disabled AS verified, CASE WHEN NOT there THEN 'review' WHEN expected > disabled THEN 'disable' WHEN expected > 0 AND ready = expected THEN 'archive' ELSE 'keep_both' END AS action FROM p",
-    "symbol_mentions": "SELECT conv_id, turn, (['run','foo,bar','baz',''])[(conv_id + turn) % 4 + 1] AS symbols FROM conversations",
+    "symbol_mentions": rf"""WITH x AS (SELECT conv_id, turn, text || ' ' || (['at app.run (x)', 'function foo and method Foo.bar()', 'baz is not defined', 'nothing'])[(conv_id + turn) % 4 + 1] AS x FROM conversations),
+  m AS (SELECT conv_id, turn, list_concat(list_concat(regexp_extract_all(x, '{T.MENTIONS[0]}', 1), regexp_extract_all(x, '{T.MENTIONS[1]}', 1)), list_concat(regexp_extract_all(x, '{T.MENTIONS[2]}', 1), regexp_extract_all(x, '{T.MENTIONS[3]}', 1))) AS f FROM x),
+  n AS (SELECT conv_id, turn, list_filter(list_transform(f, lambda s: regexp_replace(regexp_replace(trim(s), '^.*[.:]', ''), '[()]', '', 'g')), lambda s: s <> '' AND lower(s) NOT IN ('if', 'for', 'while', 'switch', 'catch', 'return', 'async')) AS f FROM m),
+  u AS (SELECT conv_id, turn, f, list_transform(f, lambda s: lower(s)) AS lows FROM n)
+  SELECT conv_id, turn, array_to_string(list_filter(f, lambda s, i: NOT list_contains(lows[1:i - 1], lower(s)))[1:5], ',') AS symbols FROM u""",
     "edge_build": f"WITH {_EDGES} SELECT edge_type, target_key, count(*) AS n, {_r('sum(weight)')} AS weight FROM edges GROUP BY 1, 2",
     "relation_scores": f"WITH {_EDGES}, h AS (SELECT * FROM (VALUES (1, 'tag', 'decision'), (1, 'symbol', 'decision'), (1, 'tag', 'about'), (1, 'symbol', 'about'), (1, 'tag', 'manual'), (1, 'symbol', 'manual'), (1, 'tag', 'tables'), (1, 'symbol', 'tables'), (1, 'module', 'web'), (1, 'symbol', 'fn_7'), (1, 'language', 'en'), (2, 'tag', 'diary'), (2, 'symbol', 'diary'), (2, 'branch', 'feature/fr'), (2, 'path', 'md')) t(query_id, edge_type, target_key)), s AS (SELECT query_id::BIGINT AS query_id, doc_id, sum(weight) AS s, count(*) AS hits FROM edges JOIN h USING (edge_type, target_key) GROUP BY 1, 2) SELECT query_id, doc_id, {_r('s')} AS score, hits, {_r('least(0.08::DOUBLE, ' + _r('s') + ' * 0.08::DOUBLE * 0.4::DOUBLE)')} AS boost FROM s",
-    "graph_two_hops": f"WITH {_EDGES}, ed AS (SELECT * FROM edges WHERE edge_type <> 'module'), one AS (SELECT b.doc_id, {_r('sum(a.weight * b.weight)')} AS score FROM ed a JOIN ed b USING (edge_type, target_key) WHERE edge_type IN ('symbol','tag','branch') AND a.doc_id IN (0, 1) AND b.doc_id NOT IN (0, 1) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 4), two AS (SELECT b.doc_id, {_r('sum(a.weight * b.weight)')} AS score FROM ed a JOIN ed b USING (edge_type, target_key) WHERE edge_type IN ('symbol','tag') AND a.doc_id IN (SELECT doc_id FROM one) AND b.doc_id NOT IN (0, 1) AND b.doc_id NOT IN (SELECT doc_id FROM one) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 3) SELECT doc_id, 1 AS hop, score, {_r('least(0.18::DOUBLE, score * 0.08::DOUBLE)')} AS boost FROM one UNION ALL SELECT doc_id, 2, score, {_r('least(0.11::DOUBLE, score * 0.045::DOUBLE)')} FROM two",
-    "part_components": "WITH RECURSIVE l AS (SELECT l_orderkey::BIGINT AS a, l_partkey::BIGINT + 10000000 AS b FROM lineitem WHERE l_quantity >= 49), e AS (SELECT a AS u, b AS v FROM l UNION SELECT b, a FROM l), r AS (SELECT u, u AS v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON e.u = r.v), c AS (SELECT u, min(v) AS component FROM r GROUP BY 1) SELECT component, count(*) AS n FROM c GROUP BY 1",
+    "graph_two_hops": f"WITH {_EDGES}, ed AS (SELECT * FROM edges), one AS (SELECT b.doc_id, {_r('sum(a.weight * b.weight)')} AS score FROM ed a JOIN ed b USING (edge_type, target_key) WHERE edge_type IN ('module','symbol','tag','branch') AND a.doc_id IN (0, 1) AND b.doc_id NOT IN (0, 1) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 4), two AS (SELECT b.doc_id, {_r('sum(a.weight * b.weight)')} AS score FROM ed a JOIN ed b USING (edge_type, target_key) WHERE edge_type IN ('module','symbol','tag') AND a.doc_id IN (SELECT doc_id FROM one) AND b.doc_id NOT IN (0, 1) AND b.doc_id NOT IN (SELECT doc_id FROM one) GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 3) SELECT doc_id, 1 AS hop, score, {_r('least(0.18::DOUBLE, score * 0.08::DOUBLE)')} AS boost FROM one UNION ALL SELECT doc_id, 2, score, {_r('least(0.11::DOUBLE, score * 0.045::DOUBLE)')} FROM two",
     "scan_changes": "WITH p AS (SELECT url || '#' || page_id AS path, page_id * 1000 AS m, length(html) AS s, sha1(html) AS c, page_id % 7 AS k FROM pages), o AS (SELECT CASE WHEN k = 2 THEN path || '#old' ELSE path END AS path, CASE WHEN k IN (3, 4) THEN 1 ELSE m END AS m, s, CASE WHEN k = 4 THEN 'x' ELSE c END AS c, CASE WHEN k = 5 THEN 'other' ELSE 'hash' END AS pr FROM p WHERE k <> 1) SELECT CASE WHEN p.path IS NULL THEN 'removed' WHEN p.s > 4000 THEN 'too_large' WHEN o.path IS NULL THEN 'new' WHEN pr = 'hash' AND p.m = o.m AND p.s = o.s THEN 'unchanged' WHEN pr = 'hash' AND p.c = o.c THEN 'refreshed' ELSE 'changed' END AS status, count(*) AS n FROM p FULL JOIN o ON p.path = o.path GROUP BY 1",
-    "replace_documents": f"WITH {_CHUNKS} SELECT source_kind, CASE memory_tier WHEN 'working' THEN 'cold' ELSE memory_tier END AS memory_tier, count(*) AS n FROM chunks GROUP BY 1, 2",
-    "disable_log": "SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type FROM events WHERE event_type IN ('error', 'signup') GROUP BY 1",
+    "replace_documents": f"WITH {_CHUNKS}, n AS (SELECT doc_id, source_kind, 'cold' AS memory_tier FROM chunks WHERE memory_tier = 'working'), k AS (SELECT doc_id, source_kind, memory_tier FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM n) UNION ALL SELECT * FROM n) SELECT source_kind, memory_tier, count(*) AS n FROM k GROUP BY 1, 2",
+    "disable_log": "SELECT user_id, max_by(event_type, (ts, event_id)) AS event_type FROM events GROUP BY 1",
     "symbol_asof": "WITH t AS (SELECT doc_id, n_chars, trim(text, ' ') AS t FROM documents), c AS (SELECT doc_id, t, unnest(range(0, greatest(0, ceil((length(t) - 1200) / 1050.0))::INT + 1)) AS k FROM t), ch AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1)::INT AS chunk_index, k * 1050 + 1200 AS e FROM c WHERE trim(substring(t, k * 1050 + 1, 1200), ' ') <> ''), sp AS (SELECT doc_id, unnest(range(0, n_chars // 700 + 1)) AS k FROM documents) SELECT ch.doc_id, chunk_index, 's' || max(k) AS symbol FROM ch LEFT JOIN sp ON sp.doc_id = ch.doc_id AND sp.k * 700 + sp.doc_id % 500 < e GROUP BY 1, 2",
     "query_time_windows": None,
     "embedding_cache": r"WITH h AS (SELECT role, text, turn, sha1(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS h FROM conversations), k AS (SELECT DISTINCT h FROM h WHERE turn = 0) SELECT role, count(*) AS items, sum(length(text))::BIGINT AS chars, sum(CASE WHEN text = '' THEN 0 ELSE greatest(1, ceil(length(text) / 4.0)) END)::BIGINT AS tokens, count(DISTINCT h) AS unique_items, count(*) FILTER (h IN (SELECT h FROM k)) AS hits, count(*) - count(DISTINCT h) AS duplicates, count(*) FILTER (h NOT IN (SELECT h FROM k)) AS misses, floor((count(*) - count(DISTINCT h)) / count(*)::DOUBLE * 10000 + 0.5) / 10000 AS duplicate_ratio FROM h GROUP BY 1",
