@@ -95,7 +95,7 @@ SQL = {
     "domain_resolve": "WITH k AS (SELECT lower(n_name) AS name, unnest([lower(n_name), lower(substring(n_name, 1, 3)), 'all']) AS k FROM nation), a AS (SELECT DISTINCT unnest([upper(substring(n_name, 1, 3)), lower(n_name), 'all']) AS term FROM nation) SELECT term, min(name) AS name FROM a JOIN k ON lower(term) = k GROUP BY 1",
     "domain_index": "SELECT lower(n_name) AS name, 1::INT AS section_count, count(c_custkey) AS file_count FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_custkey % 5 > 0 AND c_custkey % 3 > 0 GROUP BY 1",
     "profile_state": "SELECT count(*) AS total, count(*) FILTER (page_id % 4 > 0) AS \"current\", count(*) FILTER (page_id % 4 = 0) AS stale, CASE WHEN count(*) = 0 THEN 'empty' WHEN count(*) FILTER (page_id % 4 = 0) = 0 THEN 'ready' ELSE 'rebuild_required' END AS state FROM pages",
-    "language_rollup": "WITH p AS (SELECT regexp_replace(url, '[?#].*$', '') || '.' || (['py', 'TS', 'rs', 'bin'])[page_id % 4 + 1] AS path FROM pages), e AS (SELECT lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)) AS ext FROM p) SELECT CASE " + " ".join(f"WHEN ext = '{k}' THEN '{v}'" for k, v in T.LANGUAGES.items()) + " ELSE 'text' END AS language, count(*) AS n FROM e GROUP BY 1",
+    "language_rollup": r"WITH p AS (SELECT regexp_replace(url, '[?#].*$', '') || '.' || (['py', 'TS', 'rs', 'bin'])[page_id % 4 + 1] AS path FROM pages), e AS (SELECT lower(regexp_extract(path, '\.([A-Za-z0-9]+)$', 1)) AS ext FROM p) SELECT CASE " + " ".join(f"WHEN ext = '{k}' THEN '{v}'" for k, v in T.LANGUAGES.items()) + " ELSE 'text' END AS language, count(*) AS n FROM e GROUP BY 1",
     "path_functions": rf"WITH {_P}, f AS (SELECT *, string_split(p, '/') AS s, trim(regexp_replace(p, '\s+', ' ', 'g')) AS l FROM p) SELECT page_id, CASE WHEN len(s) > 1 THEN s[-2] ELSE '.' END AS parent, s[-1] AS base, array_to_string(s[-2:], '/') AS tail, substring(regexp_replace(regexp_replace(lower(p), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 24) AS slug, regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(p), '[\s/]+', '-', 'g'), '[^a-z0-9_-]', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g') AS domain, regexp_replace(regexp_replace(p, '^.*[.:]', ''), '[()]', '', 'g') AS symbol, CASE WHEN length(l) > 20 THEN rtrim(substring(l, 1, 17)) || '...' ELSE l END AS line FROM f",
     "interesting_phrases": r"WITH x AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[,\n]'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: len(string_split_regex(p, '\s+')) >= 3) AS l FROM documents), y AS (SELECT doc_id, l, list_max(list_transform(l, lambda p: length(p))) AS m FROM x) SELECT doc_id, sha1(coalesce(list_filter(l, lambda p: length(p) = m)[1], '')) AS phrase_sha1 FROM y",
     "decision_notes": f"WITH {_CHUNKS} SELECT doc_id, sha1('# ' || title || chr(10) || chr(10) || '## Decision' || chr(10) || content || coalesce(chr(10) || chr(10) || '## Rationale' || chr(10) || branch_name, '') || chr(10) || chr(10) || '## Impact' || chr(10) || module_name || chr(10) || chr(10) || 'Tags: decision, ' || language) AS note_sha1 FROM chunks WHERE source_kind = 'decision'",
