@@ -67,7 +67,7 @@ def source_switches(spark, d):
     off = D.disabled(spark, d).withColumn("reason", F.lit("toxic"))
     kept, votes, answers = N.switch(off, D.votes(spark, d), asked, c, NOW)
     rows = votes.join(kept, "doc_id", "full_outer").join(answers, "doc_id", "full_outer")
-    return rows.select("doc_id", "helpful", "noisy", "net", "last_ms", "reason", "answer")
+    return rows.select("doc_id", "helpful", "noisy", "net", "last_ms", "reason", "answer").fillna(-99, ["helpful", "noisy", "net", "last_ms"])
 
 
 def rated_sources(spark, d):
@@ -107,7 +107,7 @@ def cache_fill(spark, d):
 def path_lookup(spark, d):
     c = D.chunks(spark, d).select("doc_id", "path", "source_kind")
     asked = c.select("path").unionByName(c.select(F.concat("path", F.lit("?")).alias("path")))
-    return N.find_by_path(asked, c.where("doc_id % 2 = 0").withColumn("source_kind", F.lit("manifest")), c)
+    return N.find_by_path(asked, c.where("doc_id % 2 = 0").withColumn("source_kind", F.lit("manifest")), c).fillna(-1, ["doc_id"])
 
 
 def _checkpoints(spark, d):
@@ -121,7 +121,7 @@ def checkpoint_writes(spark, d):
     history, active = N.save_checkpoints(c.where("turn = 0"), c.where("turn > 0"))
     left, cleared = N.clear_checkpoints(active, c.where("project % 3 = 0").select("project").unionByName(spark.createDataFrame([(999,)], "project long")))
     n = history.groupBy("project").agg(F.count(F.lit(1)).alias("saved"))
-    return n.join(left.select("project", "id"), "project", "left").join(cleared, "project", "full_outer")
+    return n.join(left.select("project", "id"), "project", "left").join(cleared, "project", "full_outer").fillna(0, ["saved"])
 
 
 DOMAIN = "name string, display_name string, aliases array<string>, description string, tags array<string>, sections array<struct<dir:string,label:string>>, created_at string, updated_at string"
@@ -146,7 +146,7 @@ def text_parameters(spark, d):
     p = D.table(spark, d, "pages")
     n = F.concat(F.when(F.col("page_id") % 3 == 0, F.lit(" ")).otherwise(F.lit("x")), F.col("page_id").cast("string"), F.lit("px"))
     when = F.concat(F.lit("2024-01-"), F.lpad((F.col("page_id") % 40).cast("string"), 2, "0"))
-    return p.select("page_id", N.profile_directory("url").alias("directory"), N.relative_to(F.lit("https://www.example.com/"), F.col("url")).alias("relative"), N.optional_int(n).alias("number"), N.optional_bool(F.when(F.col("page_id") % 2 == 0, "true").otherwise("yes")).alias("flag"), N.optional_string(F.when(F.col("page_id") % 4 == 0, "  ").otherwise(F.col("url"))).alias("word"), N.parse_date(when).alias("at"))
+    return p.select("page_id", N.profile_directory("url").alias("directory"), N.relative_to(F.lit("https://www.example.com/"), F.col("url")).alias("relative"), F.coalesce(N.optional_int(n), F.lit(-1)).alias("number"), N.optional_bool(F.when(F.col("page_id") % 2 == 0, "true").otherwise("yes")).alias("flag"), N.optional_string(F.when(F.col("page_id") % 4 == 0, "  ").otherwise(F.col("url"))).alias("word"), F.coalesce(N.parse_date(when), F.lit(-1)).alias("at"))
 
 
 # ---------------------------------------------------------------- files
@@ -184,7 +184,7 @@ def indexed_files(spark, d):
     made = X.index_documents(X.scan(spark, _tree(spark, d)), "p", NOW, max_bytes=40_000)
     chunks = made["chunks"].groupBy("path").agg(F.count(F.lit(1)).alias("chunks"), F.sum("start").alias("starts"), F.sum(F.size("embedding")).alias("numbers"))
     edges = made["edges"].groupBy("doc_id").agg(F.count(F.lit(1)).alias("edges"))
-    return made["manifests"].join(chunks, "path", "left").join(edges, "doc_id", "left").select("path", "size_bytes", "chunks", "starts", "numbers", "edges")
+    return made["manifests"].join(chunks, "path", "left").join(edges, "doc_id", "left").select("path", "size_bytes", "chunks", "starts", "numbers", "edges").fillna(0, ["chunks", "starts", "numbers", "edges"])
 
 
 def index_summary(spark, d):
@@ -212,20 +212,20 @@ SQL = {
     "log_fields": rf"SELECT conv_id, turn, '2024-02-01 00:00' AS time, CASE WHEN (conv_id + turn) % 2 > 0 THEN role END AS model, CASE WHEN (conv_id + turn) % 3 > 0 THEN 'build' END AS action, NULL::VARCHAR AS test_result, md5(regexp_replace(regexp_replace(split_part(content, '## Details' || chr(10), 2), '^\s+', ''), '\s+$', '')) AS details FROM ({_LOG})",
     "remember_notes": rf"WITH k AS (SELECT *, {_KIND} AS kind, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS body FROM conversations), t AS (SELECT *, {_TITLE} AS title FROM k), p AS (SELECT *, 'memory/' || kind || '/' || substring(regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) || '.md' AS path FROM t) SELECT 'manual:' || sha1(path) AS doc_id, path, CASE WHEN kind IN ('decision', 'manual', 'imported') THEN 'stable' WHEN kind = 'diary' THEN 'working' ELSE 'project' END AS memory_tier, CASE kind WHEN 'decision' THEN 0.95::DOUBLE WHEN 'manual' THEN 0.82 WHEN 'imported' THEN 0.72 WHEN 'diary' THEN 0.46 ELSE 0.52 END AS stability_score, sha1(body) AS checksum, CASE WHEN body = '' THEN 0 ELSE greatest(0, ceil((length(body) - 1200) / 1050.0))::INT + 1 END AS chunk_count FROM p",
     "forget_paths": f"WITH {_CHUNKS}, l AS (SELECT * FROM chunks WHERE doc_id % 3 <> 0) SELECT 'manifests' AS part, source_kind, count(*) AS n FROM l WHERE doc_id % 2 = 0 GROUP BY 2 UNION ALL SELECT 'chunks', source_kind, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'found', source_kind, count(*) FROM chunks WHERE doc_id % 3 = 0 GROUP BY 2 UNION ALL SELECT 'found', 'none', count(*) FROM chunks WHERE doc_id % 50 = 1 HAVING count(*) > 0",
-    "source_switches": f"WITH {_VOTES}, {_OFF}, o AS (SELECT CASE WHEN doc_id % 35 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 5 = 0 THEN 'disable' ELSE 'enable' END AS action, doc_id % 35 > 0 AS known FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0), a AS (SELECT o.doc_id, CASE WHEN NOT known THEN 'unknown' WHEN action = 'disable' THEN 'disabled' WHEN f.doc_id IS NOT NULL THEN 'enabled' ELSE 'already enabled' END AS answer FROM o LEFT JOIN off f USING (doc_id)), k AS (SELECT doc_id, 'toxic' AS reason FROM off WHERE doc_id NOT IN (SELECT doc_id FROM o WHERE known) UNION ALL SELECT doc_id, 'asked' FROM a WHERE answer = 'disabled'), w AS (SELECT doc_id, sum(helpful)::BIGINT AS helpful, sum(noisy)::BIGINT AS noisy, max(last_ms) AS last_ms FROM (SELECT doc_id, helpful, noisy, last_ms FROM votes UNION ALL SELECT doc_id, 0, 1, {NOW} FROM a WHERE answer = 'disabled') GROUP BY 1) SELECT coalesce(w.doc_id, k.doc_id, a.doc_id) AS doc_id, helpful, noisy, helpful - noisy AS net, last_ms, reason, answer FROM w FULL JOIN k ON w.doc_id = k.doc_id FULL JOIN a ON a.doc_id = coalesce(w.doc_id, k.doc_id)",
+    "source_switches": f"WITH {_VOTES}, {_OFF}, o AS (SELECT CASE WHEN doc_id % 35 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 5 = 0 THEN 'disable' ELSE 'enable' END AS action, doc_id % 35 > 0 AS known FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0), a AS (SELECT o.doc_id, CASE WHEN NOT known THEN 'unknown' WHEN action = 'disable' THEN 'disabled' WHEN f.doc_id IS NOT NULL THEN 'enabled' ELSE 'already enabled' END AS answer FROM o LEFT JOIN off f USING (doc_id)), k AS (SELECT doc_id, 'toxic' AS reason FROM off WHERE doc_id NOT IN (SELECT doc_id FROM o WHERE known) UNION ALL SELECT doc_id, 'asked' FROM a WHERE answer = 'disabled'), w AS (SELECT doc_id, sum(helpful)::BIGINT AS helpful, sum(noisy)::BIGINT AS noisy, max(last_ms) AS last_ms FROM (SELECT doc_id, helpful, noisy, last_ms FROM votes UNION ALL SELECT doc_id, 0, 1, {NOW} FROM a WHERE answer = 'disabled') GROUP BY 1) SELECT coalesce(w.doc_id, k.doc_id, a.doc_id) AS doc_id, coalesce(helpful, -99) AS helpful, coalesce(noisy, -99) AS noisy, coalesce(helpful - noisy, -99) AS net, coalesce(last_ms, -99) AS last_ms, reason, answer FROM w FULL JOIN k ON w.doc_id = k.doc_id FULL JOIN a ON a.doc_id = coalesce(w.doc_id, k.doc_id)",
     "rated_sources": f"WITH {_VOTES}, s AS (SELECT event_id % 1500 AS doc_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END AS h, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS z FROM events), n AS (SELECT doc_id, helpful, noisy, last_ms FROM votes UNION ALL SELECT doc_id, sum(h), sum(z), {NOW} FROM s WHERE h + z > 0 AND doc_id IN (SELECT doc_id FROM documents) GROUP BY 1) SELECT doc_id, sum(helpful)::BIGINT AS helpful, sum(noisy)::BIGINT AS noisy, max(last_ms) AS last_ms, (sum(helpful) - sum(noisy))::BIGINT AS net FROM n GROUP BY 1",
     "canonical_export": f"WITH {_CHUNKS}, {_VOTES}, {_OFF}, s AS (SELECT c.*, coalesce(helpful, 0) AS helpful, doc_id IN (SELECT doc_id FROM off) AS is_disabled FROM chunks c LEFT JOIN votes v USING (doc_id) WHERE source_kind IN ('decision', 'project', 'diary') ORDER BY updated_at DESC, doc_id LIMIT 60) SELECT doc_id, source_kind, path, is_disabled, helpful, source_kind <> 'project' AS content_included, CASE WHEN source_kind <> 'project' THEN md5(content) END AS content, NULL::VARCHAR AS superseded_by, 0 AS subjects FROM s",
     "recent_sources": f"WITH {_CHUNKS}, {_OFF}, s AS (SELECT doc_id, source_kind, updated_at, doc_id IN (SELECT doc_id FROM off) AS is_disabled FROM chunks), t AS (SELECT count(*) AS total, count(*) FILTER (NOT is_disabled) AS active, count(*) FILTER (is_disabled) AS disabled FROM s) SELECT * FROM (SELECT * FROM s ORDER BY updated_at DESC, doc_id LIMIT 8) CROSS JOIN t",
     "touched_manifests": f"WITH {_CHUNKS} SELECT c.doc_id, coalesce(t.at, c.updated_at) AS updated_at FROM chunks c LEFT JOIN (SELECT DISTINCT doc_id, {NOW} + doc_id AS at FROM labels) t USING (doc_id)",
     "cache_upserts": r"SELECT (conv_id % 2)::VARCHAR AS profile_key, sha1(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS content_hash, max_by(conv_id, turn + conv_id * 100) AS embedding, max(turn + conv_id * 100) AS updated_at FROM conversations GROUP BY 1, 2",
     "cache_fill": r"WITH h AS (SELECT *, sha1(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS h FROM conversations), k AS (SELECT DISTINCT h FROM h WHERE turn = 0), f AS (SELECT h, length(min(text))::INT AS n FROM h WHERE h NOT IN (SELECT h FROM k) GROUP BY 1) SELECT conv_id || '-' || turn AS place, f.h IS NULL AS hit, coalesce(n, -1)::INT AS embedding FROM h LEFT JOIN f USING (h) UNION ALL SELECT 'misses', false, count(*)::INT FROM f",
-    "path_lookup": f"WITH {_CHUNKS} SELECT path, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'manifest' ELSE source_kind END AS source_kind FROM chunks UNION ALL SELECT path || '?', NULL, NULL FROM chunks",
-    "checkpoint_writes": "WITH c AS (SELECT conv_id % 20 AS project, conv_id || '-' || turn AS id, turn * 10 + conv_id % 7 AS saved_at FROM conversations), n AS (SELECT project, count(*) AS saved, max_by(id, (saved_at, id)) AS id FROM c GROUP BY 1) SELECT project, saved, CASE WHEN project % 3 > 0 THEN id END AS id, CASE WHEN project % 3 = 0 THEN true END AS cleared FROM n UNION ALL SELECT 999, NULL, NULL, false",
+    "path_lookup": f"WITH {_CHUNKS} SELECT path, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'manifest' ELSE source_kind END AS source_kind FROM chunks UNION ALL SELECT path || '?', -1, NULL FROM chunks",
+    "checkpoint_writes": "WITH c AS (SELECT conv_id % 20 AS project, conv_id || '-' || turn AS id, turn * 10 + conv_id % 7 AS saved_at FROM conversations), n AS (SELECT project, count(*) AS saved, max_by(id, (saved_at, id)) AS id FROM c GROUP BY 1) SELECT project, saved, CASE WHEN project % 3 > 0 THEN id END AS id, CASE WHEN project % 3 = 0 THEN true END AS cleared FROM n UNION ALL SELECT 999, 0, NULL, false",
     "domain_changes": r"WITH t AS (SELECT DISTINCT p_type, regexp_replace(lower(p_type), '[\s/]+', '-', 'g') AS name FROM part), u AS (SELECT *, length(name) % 2 = 0 AS even FROM t) SELECT name, p_type AS display_name, split_part(p_type, ' ', 1) AS aliases, CASE WHEN even THEN upper(name) ELSE '' END AS description, CASE WHEN even THEN 1 ELSE 0 END AS sections, '2024-01-01' AS created_at, CASE WHEN even THEN '2024-02-01' ELSE '2024-01-01' END AS updated_at FROM u WHERE length(name) % 5 <> 0",
-    "text_parameters": r"SELECT page_id, regexp_replace(trim(url), '[^a-zA-Z0-9._-]+', '_', 'g') AS directory, CASE WHEN starts_with(url, 'https://www.example.com/') THEN substring(url, 25) ELSE url END AS relative, CASE WHEN page_id % 3 = 0 THEN page_id END AS number, CASE WHEN page_id % 2 = 0 THEN true END AS flag, CASE WHEN page_id % 4 <> 0 THEN url END AS word, CASE WHEN page_id % 40 BETWEEN 1 AND 31 THEN epoch_ms(TIMESTAMP '2024-01-01 00:00:00') + (page_id % 40 - 1) * 86400000 END AS at FROM pages",
+    "text_parameters": r"SELECT page_id, regexp_replace(trim(url), '[^a-zA-Z0-9._-]+', '_', 'g') AS directory, CASE WHEN starts_with(url, 'https://www.example.com/') THEN substring(url, 25) ELSE url END AS relative, CASE WHEN page_id % 3 = 0 THEN page_id ELSE -1 END AS number, CASE WHEN page_id % 2 = 0 THEN true END AS flag, CASE WHEN page_id % 4 <> 0 THEN url END AS word, CASE WHEN page_id % 40 BETWEEN 1 AND 31 THEN epoch_ms(TIMESTAMP '2024-01-01 00:00:00') + (page_id % 40 - 1) * 86400000 ELSE -1 END AS at FROM pages",
     "project_scan": f"WITH {_FILES} SELECT path, size_bytes, sha1(html) AS checksum FROM files",
     "markdown_files": f"WITH f AS (SELECT {_PLACE} AS path, html FROM pages WHERE (page_id % 11 = 0 OR page_id % 13 <> 0) AND page_id % 7 <> 0) SELECT path, length(html)::INT AS length FROM f WHERE NOT starts_with(path, '_')",
-    "indexed_files": rf"WITH {_FILES}, t0 AS (SELECT path, size_bytes, trim(html, ' ') AS t FROM files WHERE size_bytes <= 40000), c0 AS (SELECT path, t, unnest(range(0, greatest(0, ceil((length(t) - 1200) / 1050.0))::INT + 1)) AS k FROM t0), p0 AS (SELECT path, k FROM c0 WHERE trim(substring(t, k * 1050 + 1, 1200), ' ') <> ''), n AS (SELECT path, count(*) AS chunks, sum(k * 1050)::BIGINT AS starts, count(*) * 64 AS numbers FROM p0 GROUP BY 1) SELECT t0.path, size_bytes, chunks, starts, numbers::BIGINT AS numbers, 3::BIGINT AS edges FROM t0 LEFT JOIN n USING (path)",
+    "indexed_files": rf"WITH {_FILES}, t0 AS (SELECT path, size_bytes, trim(html, ' ') AS t FROM files WHERE size_bytes <= 40000), c0 AS (SELECT path, t, unnest(range(0, greatest(0, ceil((length(t) - 1200) / 1050.0))::INT + 1)) AS k FROM t0), p0 AS (SELECT path, k FROM c0 WHERE trim(substring(t, k * 1050 + 1, 1200), ' ') <> ''), n AS (SELECT path, count(*) AS chunks, sum(k * 1050)::BIGINT AS starts, count(*) * 64 AS numbers FROM p0 GROUP BY 1) SELECT t0.path, size_bytes, coalesce(chunks, 0) AS chunks, coalesce(starts, 0) AS starts, coalesce(numbers, 0)::BIGINT AS numbers, 3::BIGINT AS edges FROM t0 LEFT JOIN n USING (path)",
     "index_summary": f"WITH {_FILES} SELECT count(*) FILTER (size_bytes <= 40000 AND length(path) % 8 = 0) AS indexed, count(*) FILTER (size_bytes > 40000) AS skipped, count(*) FILTER (size_bytes <= 40000 AND length(path) % 8 <> 0) AS unchanged, 1::BIGINT AS removed FROM files",
     "missing_texts": f"WITH {_FILES}, a AS (SELECT 'm' || (page_id % 5)::VARCHAR || '/sub/p ' || page_id::VARCHAR || '.md' AS path FROM pages) SELECT path, coalesce(length(html), 0)::INT AS length FROM a LEFT JOIN files USING (path)",
 }
