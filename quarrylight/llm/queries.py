@@ -56,8 +56,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and text: the kept words joined by one space."""
     done = substring_dedup.remove_repeated_words(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), F.col("kept").alias("text"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +66,10 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and text: the remaining bytes, with U+FFFD where a cut splits a character."""
     done = suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
-    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    text = F.make_valid_utf8(F.col("kept").cast("string")).alias("text")
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), text)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +115,9 @@ WITH d AS (
 ), dropped AS (
   SELECT rid, list(p) AS ps FROM gone GROUP BY rid
 )
-SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
-  sha256(array_to_string(list_filter(ws, lambda w, k: ps IS NULL OR NOT list_contains(ps, k)), ' ')) AS kept_sha256
-FROM d LEFT JOIN dropped USING (rid)""",
+SELECT doc_id, n_words, n_removed, sha256(text) AS kept_sha256, text FROM (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+    array_to_string(list_filter(ws, lambda w, k: ps IS NULL OR NOT list_contains(ps, k)), ' ') AS text
+  FROM d LEFT JOIN dropped USING (rid)
+)""",
 }

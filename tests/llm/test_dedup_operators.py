@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quarrylight.llm import minhash, neighbours, packing, quality, repeats, substring_dedup, suffix_dedup, url_filters
+from quarrylight.llm import minhash, neighbours, packing, quality, queries, repeats, substring_dedup, suffix_dedup, url_filters
 from quarrylight.llm.components import components
 
 from .fixtures import SCHEMA, documents, empty, repeated_units, rows
@@ -42,6 +42,25 @@ def test_repeated_bytes(spark, window, gram, large, monkeypatch):
     assert suffix_dedup.remove_repeated_bytes(empty(spark)).count() == 0
 
 
+def test_queries_return_the_kept_text(spark, sf):
+    texts = Counter((r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    for query, window, split in (("op7_substring_dedup", 35, True), ("op9_suffix_array_dedup", 400, False)):
+        seen, want = Counter(), []
+        units = [(d, t.split() if split else t) for (d, t), n in texts.items() for _ in range(n)]
+        for _, u in units:
+            seen.update(hash(tuple(u[i : i + window])) for i in range(len(u) - window + 1))
+        for d, u in units:
+            gone = [False] * len(u)
+            for i in range(len(u) - window + 1):
+                if seen[hash(tuple(u[i : i + window]))] > 1:
+                    gone[i : i + window] = [True] * window
+            kept = [x for x, g in zip(u, gone, strict=True) if not g]
+            want.append((d, sum(gone), b" ".join(kept) if split else bytes(kept)))
+        got = queries.QUERIES[query](spark, sf).collect()
+        assert sorted((r.doc_id, r.n_removed, r.kept_sha256) for r in got) == sorted((d, n, sha(k)) for d, n, k in want)
+        assert sorted((r.doc_id, r.text.replace("\ufffd", "")) for r in got) == sorted((d, k.decode("utf-8", "ignore").replace("\ufffd", "")) for d, _, k in want)
+
+
 def test_suffix_order_and_repeats():
     r = random.Random(3)
     for trial in range(120):
