@@ -299,7 +299,11 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
     members = spill(spark, here.join(mixed, "key").select("home", "node", "part", "n").distinct())
 
     def cells(members: DataFrame, values: DataFrame, sets: bool) -> DataFrame:
-        """Blocks of the members outside their home (outer) against blocks of all its members."""
+        """Blocks of the members outside their home (outer) against blocks of all its members.
+
+        For signatures, homes of one block share a cell with others, about ``BLOCK`` members in each: what
+        meets there by chance is only compared once more, and none of a home's own pairs is lost.
+        """
 
         def count(mine) -> Column:
             rows = F.ceil(F.count(F.when(mine, 1)) / BLOCK)
@@ -307,11 +311,14 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80) -> Dat
             return F.greatest(F.lit(1), rows, size).cast("int")
 
         sizes = spill(spark, members.groupBy("home").agg(count(F.lit(True)).alias("all"), count(F.col("part") != F.col("home")).alias("out")))
-        placed = members.join(sizes, "home")
-        shape = ("home", "node", "part", "n")
+        bundles = -(-members.count() // BLOCK) or 1
+        shared = F.lit(not sets) & (F.col("all") == 1) & (F.col("out") == 1)
+        bundle = F.pmod(F.xxhash64(F.lit(6), "home"), F.lit(bundles))
+        placed = members.join(sizes, "home").withColumn("shared", shared).withColumn("cell", F.when(F.col("shared"), bundle).otherwise(F.col("home")))
+        shape = ("home", "node", "part", "n", "shared", "cell")
         outer = placed.where("part <> home").select(*shape, F.lit(True).alias("outer"), deal(3, F.col("out")).alias("i"), spread(F.col("all")).alias("j"))
         inner = placed.select(*shape, F.lit(False).alias("outer"), deal(4, F.col("all")).alias("j"), spread(F.col("out")).alias("i"))
-        return outer.unionByName(inner).join(values, "node").groupBy("home", "i", "j")
+        return outer.unionByName(inner).join(values, "node").groupBy("shared", "cell", "i", "j")
 
     hopeful = cells(members, known, False).applyInArrow(promising(percent, MATCHES), "home long, node long, part long, n long")
     close = spill(spark, hopeful.distinct())
