@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, minhash, neighbours, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filters
+from . import bpe, fingerprints, line_dedup, minhash, neighbours, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filters
 from .common import shared_dir, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -77,7 +77,12 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_shingles", "component_id", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op3_nearest_neighbours, op4_url_filters, op5_bpe_round_trip, op6_token_counts, op7_substring_dedup, op8_packing, op9_suffix_array_dedup, op10_minhash_near_dedup)}
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op3_nearest_neighbours, op4_url_filters, op5_bpe_round_trip, op6_token_counts, op7_substring_dedup, op8_packing, op9_suffix_array_dedup, op10_minhash_near_dedup, op12_line_dedup)}
 
 _WORDS = "casino|porn|xxx|viagra|malware|phishing|torrent|warez"
 ORACLE_SQL = {
@@ -120,4 +125,18 @@ SELECT doc_id, n_words, n_removed, sha256(text) AS kept_sha256, text FROM (
     array_to_string(list_filter(ws, lambda w, k: ps IS NULL OR NOT list_contains(ps, k)), ' ') AS text
   FROM d LEFT JOIN dropped USING (rid)
 )""",
+    "op12_line_dedup": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+), l AS (
+  SELECT rid, unnest(range(1, len(ls) + 1)) AS n, unnest(ls) AS line FROM d
+), k AS (
+  SELECT rid, n, line, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l
+), f AS (
+  SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT rid) >= 10
+), j AS (
+  SELECT rid, count(*) AS n_lines, count(f.key) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE f.key IS NULL), '') AS kept
+  FROM k LEFT JOIN f ON k.key = f.key GROUP BY rid
+)
+SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM j JOIN d USING (rid)""",
 }
