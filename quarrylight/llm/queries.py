@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, line_dedup, minhash, neighbours, packing, quality, substring_dedup, suffix_dedup, token_counts, url_filters
+from . import bpe, fingerprints, line_dedup, merkle, minhash, neighbours, packing, quality, ranked_search, substring_dedup, suffix_dedup, token_counts, url_filters
 from .common import shared_dir, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -77,14 +77,24 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = ranked_search.build_index(table(spark, sf_dir, "documents"))
+    return ranked_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.drop_frequent_lines(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op3_nearest_neighbours, op4_url_filters, op5_bpe_round_trip, op6_token_counts, op7_substring_dedup, op8_packing, op9_suffix_array_dedup, op10_minhash_near_dedup, op12_line_dedup)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove_documents(table(spark, sf_dir, "documents"), lower_some=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_quality_classifier, op3_nearest_neighbours, op4_url_filters, op5_bpe_round_trip, op6_token_counts, op7_substring_dedup, op8_packing, op9_suffix_array_dedup, op10_minhash_near_dedup, op11_ranked_search, op12_line_dedup, op13_merkle_manifest)}
 
 _WORDS = "casino|porn|xxx|viagra|malware|phishing|torrent|warez"
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 ORACLE_SQL = {
     "op4_url_filters": rf"""
 WITH cut AS (
@@ -125,6 +135,26 @@ SELECT doc_id, n_words, n_removed, sha256(text) AS kept_sha256, text FROM (
     array_to_string(list_filter(ws, lambda w, k: ps IS NULL OR NOT list_contains(ps, k)), ' ') AS text
   FROM d LEFT JOIN dropped USING (rid)
 )""",
+    "op11_ranked_search": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}') AS ts FROM documents
+), s AS (
+  SELECT count(*) FILTER (WHERE len(ts) > 0) AS n, sum(len(ts))::BIGINT AS l FROM d
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_TERM}')) AS term FROM benchmark
+), t AS (
+  SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY rid, term
+), w AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM t CROSS JOIN s GROUP BY term
+), m AS (
+  SELECT rid, doc_id, 50 + (50 * len(ts) * n) // l AS m FROM d CROSS JOIN s
+), r AS (
+  SELECT item_id, rid, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM q JOIN t USING (term) JOIN w USING (term) JOIN m USING (rid) GROUP BY item_id, rid
+)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST)::INTEGER AS rank FROM r WHERE score > 0
+) WHERE rank <= 50""",
     "op12_line_dedup": r"""
 WITH d AS (
   SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
