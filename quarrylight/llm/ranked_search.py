@@ -228,7 +228,8 @@ def search(index: DataFrame, items: DataFrame, top: int = TOP) -> DataFrame:
     spark = index.sparkSession
     n, total = index.agg(F.sum("n_docs"), F.sum("n_terms")).first()
     out = spark.createDataFrame([], HITS)
-    for block in _blocks(item_terms(items)):
+    # a written table: an iterator over a shuffle would outlive the shuffle's files
+    for block in _blocks(spill(spark, item_terms(items))):
         terms = sorted({t for _, own in block for t in own})
         out = out.unionByName(_search_block(index, block, terms, n or 0, total or 0, top))
     return _ranked(out, top)
@@ -251,7 +252,7 @@ def _search_block(index: DataFrame, block: list[tuple[int | None, list[bytes]]],
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(df[at])], names=["term", "df"])
 
     counted = index.select("terms", "starts", *(F.lit(b"").alias(c) for c in ("doc_ids", "bare", "lengths", "ords", "tfs"))).mapInArrow(sizes, "term long, df long")
-    df = dict(counted.groupBy("term").agg(F.sum("df")).toLocalIterator())
+    df = dict(counted.groupBy("term").agg(F.sum("df")).collect())  # a row for each of the block's terms at most
     weight = {terms[t]: (t, math.floor(1000 * math.log((2 * n + 2) / (2 * d + 1)))) for t, d in df.items()}
     plan = spark.sparkContext.broadcast([(i, [weight[t] for t in own if t in weight]) for i, own in block])
 
@@ -266,6 +267,6 @@ def _search_block(index: DataFrame, block: list[tuple[int | None, list[bytes]]],
 
     first = F.pmod(F.xxhash64("segment"), F.lit(SEED)) == 0
     best = spill(spark, _ranked(shards(index.where(first), {}), top))
-    worst = {r.item_id: r.score for r in best.where(F.col("rank") == top).toLocalIterator()}
+    worst = {r.item_id: r.score for r in best.where(F.col("rank") == top).collect()}
     seeds = {k: worst[i] for k, (i, _) in enumerate(block) if i in worst}
     return best.select("item_id", "doc_id", "score").unionByName(shards(index.where(~first), seeds))
