@@ -140,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, rows: int = FIT_ROWS) -> Model:
     mean, spread = x.mean(0), np.maximum(x.std(0), 1e-6)
     z = np.ascontiguousarray((x - mean) / spread)
 
-    blocks = docs.sparkSession.createDataFrame(pa.table({"fold": pa.array(fold, pa.int32()), "y": y, "x": pa.array(list(z), pa.list_(pa.float64()))})).repartition(8)
+    blocks = docs.sparkSession.createDataFrame(pa.table({"fold": pa.array(fold, pa.int32()), "y": y, "x": pa.array(list(z), pa.list_(pa.float64()))})).coalesce(8)  # no shuffle, whose files might go before the iterator ends
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 1 + width + FEATURES
