@@ -113,18 +113,19 @@ def best_clusters(clusters: DataFrame, k: int = 8) -> DataFrame:
 def execute_resolutions(plans: DataFrame, asked: DataFrame, sources: DataFrame, root: str, at_ms: int) -> tuple[DataFrame, DataFrame]:
     """(canonical decisions as remembered documents, disabled inputs) of plans (plan_id, title, decision, disable_inputs).
 
-    ``asked``: plan_id, doc_id. A plan without a known source writes nothing.
+    ``asked``: plan_id, doc_id. A plan without a known source writes nothing. A plan without a title is named by its
+    time; plans of one title share a document, and each disables its own inputs.
     """
     known = asked.distinct().join(sources.select("doc_id"), "doc_id")
     n = known.groupBy("plan_id").agg(F.count(F.lit(1)).alias("n"))
     tags = F.array(F.lit("conflict-resolution"), F.lit("canonical"))
     impact = F.concat(F.lit("Canonical resolution created from "), F.col("n").cast("string"), F.lit(" conflicting memories."))
+    titled = plans.join(n, "plan_id").withColumn("source_kind", F.lit("decision")).withColumn("title", N.note_title(at_ms))
     body = I.decision_note(F.col("title"), F.col("decision"), F.lit(None).cast("string"), impact, tags)
-    made = plans.join(n, "plan_id").select("plan_id", "title", "n", "disable_inputs", body.alias("content"), tags.alias("tags"), F.lit("decision").alias("source_kind"))
+    made = titled.select("plan_id", "title", "n", "disable_inputs", body.alias("content"), tags.alias("tags"), "source_kind")
     docs = N.remember(made, root, at_ms)
-    off = known.join(made.where("disable_inputs").select("plan_id", "title"), "plan_id")
-    paths = docs.select(F.col("doc_id").alias("canonical_id"), "title").distinct()
-    return docs, off.join(paths, "title").select("doc_id", F.concat(F.lit("Resolved into canonical decision "), F.col("canonical_id"), F.lit(".")).alias("reason"))
+    off = known.join(made.where("disable_inputs").select("plan_id", N.note_id(root, at_ms).alias("canonical_id")), "plan_id")
+    return docs, off.select("doc_id", F.concat(F.lit("Resolved into canonical decision "), F.col("canonical_id"), F.lit(".")).alias("reason"))
 
 
 def verify(plans: DataFrame, asked: DataFrame, sources: DataFrame, contents: DataFrame) -> DataFrame:

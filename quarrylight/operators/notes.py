@@ -39,16 +39,34 @@ def log_fields(content: Column) -> dict[str, Column]:
     return {"time": own("Time"), "model": own("Model"), "action": own("Action"), "test_result": own("Test Result"), "details": T.trimmed(rest)}
 
 
+def _note_path(title: Column, root: str) -> Column:
+    return F.concat_ws("/", F.lit(root.rstrip("/")), "source_kind", F.concat(T.slugify(title), F.lit(".md")))
+
+
+def note_title(at_ms: int) -> Column:
+    """A note's title, or its kind and time."""
+    return F.coalesce("title", F.concat_ws("-", "source_kind", F.lit(str(at_ms))))
+
+
+def note_id(root: str, at_ms: int) -> Column:
+    """Id of the document that a note (title, source_kind) leads to."""
+    return F.concat(F.lit("manual:"), F.sha1(_note_path(note_title(at_ms), root).cast("binary")))
+
+
 def remember(notes: DataFrame, root: str, at_ms: int) -> DataFrame:
     """Documents of notes (title, content, source_kind, and optionally tags, module_name, memory_tier, stability_score).
 
     The path follows from kind and title, or from kind and time without a title; the id from the path.
-    A null or empty content is remembered as empty and has no chunks.
+    A null or empty content is remembered as empty and has no chunks. Of notes that lead to one path one stays,
+    as a later one overwrites an earlier one: the last by ``seq`` (a column of the notes), without it the one
+    with the greatest content and title.
     """
     have = set(notes.columns)
+    order = F.struct("seq") if "seq" in have else F.struct("content", "title")
+    notes = notes.groupBy(note_id(root, at_ms).alias("_id")).agg(F.max_by(F.struct(*notes.columns), order).alias("n")).select("n.*")
     given = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
-    title = F.coalesce("title", F.concat_ws("-", "source_kind", F.lit(str(at_ms))))
-    path = F.concat_ws("/", F.lit(root.rstrip("/")), "source_kind", F.concat(T.slugify(title), F.lit(".md")))
+    title = note_title(at_ms)
+    path = _note_path(title, root)
     content = T.trimmed(F.coalesce("content", F.lit("")))
     kind = F.col("source_kind")
     rows = notes.select(

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-from urllib.parse import urlparse
-
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -14,6 +11,7 @@ from ..operators import lineage
 from ..operators import notes as N
 from ..sources import files as X
 from ..sources import tables as D
+from ..sources.tree import filesystem
 from .queries import _CHUNKS, _OFF, _VOTES
 
 NOW, DAY, TODAY = D.NOW_MS, 86_400_000, "2024-02-01"
@@ -43,10 +41,10 @@ def log_fields(spark, d):
 
 
 def remember_notes(spark, d):
-    """All turns remembered, of six kinds, some without a title."""
+    """All turns remembered, of six kinds; those without a title share one path by kind, where the last one stays."""
     c = D.table(spark, d, "conversations")
     kind = F.element_at(F.array(*map(F.lit, D.KINDS)), (F.col("conv_id") % 6 + 1).cast("int"))
-    notes = c.select(F.when(F.col("turn") % 4 > 0, F.concat_ws(" ", F.lit("Note:"), "conv_id", "turn")).alias("title"), F.concat(F.lit("  "), "text", F.lit("\n")).alias("content"), kind.alias("source_kind"))
+    notes = c.select(F.when(F.col("turn") % 4 > 0, F.concat_ws(" ", F.lit("Note:"), "conv_id", "turn")).alias("title"), F.concat(F.lit("  "), "text", F.lit("\n")).alias("content"), kind.alias("source_kind"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"))
     return N.remember(notes, "memory", NOW).select("doc_id", "path", "memory_tier", "stability_score", "checksum", "chunk_count")
 
 
@@ -153,20 +151,19 @@ def text_parameters(spark, d):
 
 
 def _tree(spark, d):
-    """A folder with one file for each page: Markdown, some of it excluded, hidden or of another kind."""
+    """A folder with one file for each page: Markdown, some of it excluded, hidden, of another kind or with underscores before its name."""
     at = lineage.folder(spark)
-    local = urlparse(at).path
     k = F.col("page_id")
     place = F.when(k % 11 == 0, "node_modules/x").when(k % 13 == 0, "src/.cache").when(k % 17 == 0, "_drafts").otherwise(F.concat(F.lit("m"), (k % 5).cast("string"), F.lit("/sub")))
-    rows = D.table(spark, d, "pages").select(F.concat_ws("/", place, F.concat(F.lit("p "), k.cast("string"), F.when(k % 7 == 0, ".png").otherwise(".md"))).alias("path"), "html")
+    rows = D.table(spark, d, "pages").select(F.concat_ws("/", place, F.concat(F.when(k % 19 == 0, "__p ").otherwise("p "), k.cast("string"), F.when(k % 7 == 0, ".png").otherwise(".md"))).alias("path"), "html")
 
     def write(part):
+        files, base = filesystem(at)
         for r in part:
-            os.makedirs(os.path.dirname(f"{local}/{r.path}"), exist_ok=True)
-            with open(f"{local}/{r.path}", "w", encoding="utf-8", newline="") as f:
-                f.write(r.html or "")
+            files.create_dir(f"{base}/{r.path}".rsplit("/", 1)[0])
+            with files.open_output_stream(f"{base}/{r.path}") as f:
+                f.write((r.html or "").encode())
 
-    os.makedirs(local, exist_ok=True)
     rows.foreachPartition(write)
     return at
 
@@ -201,7 +198,7 @@ def missing_texts(spark, d):
     return X.texts_at(asked, files).select("path", F.length("content").alias("length"))
 
 
-_PLACE = "CASE WHEN page_id % 11 = 0 THEN 'node_modules/x' WHEN page_id % 13 = 0 THEN 'src/.cache' WHEN page_id % 17 = 0 THEN '_drafts' ELSE 'm' || (page_id % 5)::VARCHAR || '/sub' END || '/p ' || page_id::VARCHAR || CASE WHEN page_id % 7 = 0 THEN '.png' ELSE '.md' END"
+_PLACE = "CASE WHEN page_id % 11 = 0 THEN 'node_modules/x' WHEN page_id % 13 = 0 THEN 'src/.cache' WHEN page_id % 17 = 0 THEN '_drafts' ELSE 'm' || (page_id % 5)::VARCHAR || '/sub' END || CASE WHEN page_id % 19 = 0 THEN '/__p ' ELSE '/p ' END || page_id::VARCHAR || CASE WHEN page_id % 7 = 0 THEN '.png' ELSE '.md' END"
 _FILES = f"files AS (SELECT page_id, {_PLACE} AS path, html, strlen(html)::BIGINT AS size_bytes FROM pages WHERE page_id % 11 <> 0 AND page_id % 13 <> 0 AND page_id % 7 <> 0)"
 _KIND = "['manual','decision','diary','project','imported','log'][conv_id % 6 + 1]"
 _LOG = "SELECT conv_id, turn, '# Log: ' || conv_id || '-' || turn || chr(10) || '**Time**: 2024-02-01 00:00' || CASE WHEN (conv_id + turn) % 2 > 0 THEN chr(10) || '**Model**: ' || role ELSE '' END || CASE WHEN (conv_id + turn) % 3 > 0 THEN chr(10) || '**Action**: build' ELSE '' END || chr(10) || '## Details' || chr(10) || CASE WHEN (conv_id + turn) % 5 > 0 AND text <> '' THEN text ELSE 'No additional notes provided.' END || CASE WHEN turn % 2 = 0 THEN chr(10) || '## Tags' || chr(10) || '- ' || role || chr(10) || '- x' ELSE '' END AS content, role, text FROM conversations"
@@ -210,7 +207,7 @@ _FOUND = "SELECT path, CASE WHEN doc_id % 2 = 0 THEN doc_id ELSE doc_id END AS d
 SQL = {
     "log_notes": f"SELECT conv_id, turn, md5(content) AS digest FROM ({_LOG})",
     "log_fields": rf"SELECT conv_id, turn, '2024-02-01 00:00' AS time, CASE WHEN (conv_id + turn) % 2 > 0 THEN role END AS model, CASE WHEN (conv_id + turn) % 3 > 0 THEN 'build' END AS action, NULL::VARCHAR AS test_result, md5(regexp_replace(regexp_replace(split_part(content, '## Details' || chr(10), 2), '^\s+', ''), '\s+$', '')) AS details FROM ({_LOG})",
-    "remember_notes": rf"WITH k AS (SELECT *, {_KIND} AS kind, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS body FROM conversations), t AS (SELECT *, {_TITLE} AS title FROM k), p AS (SELECT *, 'memory/' || kind || '/' || substring(regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) || '.md' AS path FROM t) SELECT 'manual:' || sha1(path) AS doc_id, path, CASE WHEN kind IN ('decision', 'manual', 'imported') THEN 'stable' WHEN kind = 'diary' THEN 'working' ELSE 'project' END AS memory_tier, CASE kind WHEN 'decision' THEN 0.95::DOUBLE WHEN 'manual' THEN 0.82 WHEN 'imported' THEN 0.72 WHEN 'diary' THEN 0.46 ELSE 0.52 END AS stability_score, sha1(body) AS checksum, CASE WHEN body = '' THEN 0 ELSE greatest(0, ceil((length(body) - 1200) / 1050.0))::INT + 1 END AS chunk_count FROM p",
+    "remember_notes": rf"WITH k AS (SELECT *, {_KIND} AS kind, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS body FROM conversations), t AS (SELECT *, {_TITLE} AS title FROM k), p AS (SELECT *, 'memory/' || kind || '/' || substring(regexp_replace(regexp_replace(lower(title), '[^\p{{L}}\p{{N}}_-]+', '-', 'g'), '^-+|-+$', '', 'g'), 1, 80) || '.md' AS path FROM t) SELECT 'manual:' || sha1(path) AS doc_id, path, CASE WHEN kind IN ('decision', 'manual', 'imported') THEN 'stable' WHEN kind = 'diary' THEN 'working' ELSE 'project' END AS memory_tier, CASE kind WHEN 'decision' THEN 0.95::DOUBLE WHEN 'manual' THEN 0.82 WHEN 'imported' THEN 0.72 WHEN 'diary' THEN 0.46 ELSE 0.52 END AS stability_score, sha1(body) AS checksum, CASE WHEN body = '' THEN 0 ELSE greatest(0, ceil((length(body) - 1200) / 1050.0))::INT + 1 END AS chunk_count FROM p QUALIFY row_number() OVER (PARTITION BY path ORDER BY conv_id * 1000 + turn DESC) = 1",
     "forget_paths": f"WITH {_CHUNKS}, l AS (SELECT * FROM chunks WHERE doc_id % 3 <> 0) SELECT 'manifests' AS part, source_kind, count(*) AS n FROM l WHERE doc_id % 2 = 0 GROUP BY 2 UNION ALL SELECT 'chunks', source_kind, count(*) FROM l GROUP BY 2 UNION ALL SELECT 'found', source_kind, count(*) FROM chunks WHERE doc_id % 3 = 0 GROUP BY 2 UNION ALL SELECT 'found', 'none', count(*) FROM chunks WHERE doc_id % 50 = 1 HAVING count(*) > 0",
     "source_switches": f"WITH {_VOTES}, {_OFF}, o AS (SELECT CASE WHEN doc_id % 35 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, CASE WHEN doc_id % 5 = 0 THEN 'disable' ELSE 'enable' END AS action, doc_id % 35 > 0 AS known FROM documents WHERE doc_id % 5 = 0 OR doc_id % 7 = 0), a AS (SELECT o.doc_id, CASE WHEN NOT known THEN 'unknown' WHEN action = 'disable' THEN 'disabled' WHEN f.doc_id IS NOT NULL THEN 'enabled' ELSE 'already enabled' END AS answer FROM o LEFT JOIN off f USING (doc_id)), k AS (SELECT doc_id, 'toxic' AS reason FROM off WHERE doc_id NOT IN (SELECT doc_id FROM o WHERE known) UNION ALL SELECT doc_id, 'asked' FROM a WHERE answer = 'disabled'), w AS (SELECT doc_id, sum(helpful)::BIGINT AS helpful, sum(noisy)::BIGINT AS noisy, max(last_ms) AS last_ms FROM (SELECT doc_id, helpful, noisy, last_ms FROM votes UNION ALL SELECT doc_id, 0, 1, {NOW} FROM a WHERE answer = 'disabled') GROUP BY 1) SELECT coalesce(w.doc_id, k.doc_id, a.doc_id) AS doc_id, coalesce(helpful, -99) AS helpful, coalesce(noisy, -99) AS noisy, coalesce(helpful - noisy, -99) AS net, coalesce(last_ms, -99) AS last_ms, reason, answer FROM w FULL JOIN k ON w.doc_id = k.doc_id FULL JOIN a ON a.doc_id = coalesce(w.doc_id, k.doc_id)",
     "rated_sources": f"WITH {_VOTES}, s AS (SELECT event_id % 1500 AS doc_id, CASE WHEN event_type IN ('purchase', 'signup') THEN 1 ELSE 0 END AS h, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS z FROM events), n AS (SELECT doc_id, helpful, noisy, last_ms FROM votes UNION ALL SELECT doc_id, sum(h), sum(z), {NOW} FROM s WHERE h + z > 0 AND doc_id IN (SELECT doc_id FROM documents) GROUP BY 1) SELECT doc_id, sum(helpful)::BIGINT AS helpful, sum(noisy)::BIGINT AS noisy, max(last_ms) AS last_ms, (sum(helpful) - sum(noisy))::BIGINT AS net FROM n GROUP BY 1",

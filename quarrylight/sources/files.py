@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .tables import ship
+from .tree import TreeSource, glob_pattern, ignore_pattern
 
 #: What a project scan takes and leaves by default, and the largest file.
 INCLUDE = tuple(f"**/*.{x}" for x in ("md", "txt", "ts", "tsx", "js", "jsx", "py", "go", "rs", "java", "cs", "c", "cpp", "h", "hpp", "json", "yaml", "yml", "toml", "sql", "sh", "ps1"))
@@ -20,29 +22,6 @@ EXCLUDE = ("**/.git/**", "**/node_modules/**", "**/dist/**", "**/build/**", "**/
 MAX_BYTES = 256_000
 
 
-def glob_pattern(glob: str) -> str:
-    """A glob as an expression over whole relative paths: ``**/`` is any folders, ``*`` and ``?`` stay in one part."""
-    out, i = "", 0
-    while i < len(glob):
-        if glob.startswith("**/", i):
-            out, i = out + "(?:[^/]+/)*", i + 3
-        elif glob.startswith("**", i):
-            out, i = out + ".*", i + 2
-        elif glob[i] in "*?":
-            out, i = out + ("[^/]*" if glob[i] == "*" else "[^/]"), i + 1
-        else:
-            out, i = out + re.escape(glob[i]), i + 1
-    return f"^(?:{out})$"
-
-
-def ignore_pattern(rule: str) -> str:
-    """A gitignore-like rule, relative to any folder unless it holds a slash before its end; a match takes all below it."""
-    body = rule.strip().removeprefix("**/")
-    held = "/" in body.rstrip("/").removesuffix("/**")
-    inner = glob_pattern(body.rstrip("/").removesuffix("/**").removeprefix("/"))[1:-1]
-    return f"^{'' if held else '(?:[^/]+/)*'}{inner}(?:/.*)?$"
-
-
 def among(path: Column, patterns) -> Column:
     patterns = list(patterns)
     return path.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
@@ -53,34 +32,18 @@ def wanted(path: Column, include=INCLUDE, exclude=EXCLUDE) -> Column:
     return among(path, map(glob_pattern, include)) & ~among(path, map(glob_pattern, exclude)) & ~among(path, map(ignore_pattern, exclude)) & ~path.rlike(r"(^|/)\.")
 
 
-def underscored(spark: SparkSession, root: str) -> list[str]:
-    """Folders whose names start with an underscore: Spark lists them only if they are named to it."""
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found, todo = [], [root]
-    while todo:  # one listing for each folder, as Spark's own index does
-        for f in fs.listStatus(jvm.org.apache.hadoop.fs.Path(todo.pop())):
-            path = f.getPath()
-            if f.isDirectory() and path.getName().startswith("_"):
-                found.append(path.toString())
-            if f.isDirectory() and not path.getName().startswith("."):
-                todo.append(path.toString())
-    return found
-
-
 def scan(spark: SparkSession, root: str, include=INCLUDE, exclude=EXCLUDE, max_bytes: int | None = None) -> DataFrame:
     """path (from ``root`` on), size_bytes, mtime_ms, content, checksum of a tree's files; text that isn't UTF-8 is repaired.
 
-    Files whose own names start with an underscore are left out, as Spark does not read them. Paths are filtered before contents are read. With ``max_bytes`` the contents of larger files are null.
+    Files are listed by ``tree.TreeSource``: executors walk the folders, excluded folders are not entered, and
+    only files that are taken are opened. With ``max_bytes`` the contents of larger files are null, and the
+    files stay closed.
     """
-    base = root.rstrip("/")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load([base, *underscored(spark, base)])
-    path = F.regexp_replace(F.col("path"), "^.*?" + re.escape(re.sub("^[a-z]+:/*", "/", base)) + "/", "")
-    rows = files.select(path.alias("path"), F.col("length").alias("size_bytes"), F.unix_millis("modificationTime").alias("mtime_ms"), "content")
-    rows = rows.where(wanted(F.col("path"), include, exclude))
-    raw = F.col("content") if max_bytes is None else F.when(F.col("size_bytes") <= max_bytes, F.col("content"))
-    text = F.decode(raw, "UTF-8")
-    return rows.select("path", "size_bytes", "mtime_ms", text.alias("content"), F.sha1(raw).alias("checksum"))
+    ship(spark)
+    spark.dataSource.register(TreeSource)
+    options = {"include": json.dumps(list(include)), "exclude": json.dumps(list(exclude)), "max_bytes": "" if max_bytes is None else str(max_bytes)}
+    raw = spark.read.format(TreeSource.name()).options(**options).load(root)
+    return raw.select("path", "size_bytes", "mtime_ms", F.make_valid_utf8(F.col("content").cast("string")).alias("content"), F.sha1("content").alias("checksum"))
 
 
 def markdown(spark: SparkSession, root: str) -> DataFrame:
