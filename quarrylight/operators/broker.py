@@ -90,12 +90,23 @@ def idle(items: DataFrame, now_ms: int, key: str = "profile_key") -> DataFrame:
     return items.groupBy(key).agg(F.max("at").alias("last")).withColumn("release", F.lit(now_ms) - F.col("last") >= IDLE_MS)
 
 
-def on_stream(stream: DataFrame, provider: Provider, sink: Callable[[DataFrame, int], None], checkpoint: str, *, every: str = "20 milliseconds"):
-    """Micro-batches stand for windows: each is deduplicated by profile and text, flushed and fanned out. ``stop`` drains it."""
+def on_stream(stream: DataFrame, provider: Provider, sink: Callable[[DataFrame, int], None], checkpoint: str, *, every: str = "20 milliseconds", ledger: Any = None):
+    """Micro-batches stand for windows: each is deduplicated by profile and text, flushed and fanned out. ``stop`` drains it.
+
+    With a ``ledger.Ledger`` no text is asked twice, however often ``sink`` reads its frame or a batch is run again.
+    """
 
     def work(rows: DataFrame, batch_id: int) -> None:
-        own = rows.withColumn("opened", F.lit(batch_id))
-        sink(fan_out(own, flush(batches(distinct_requests(own)), provider)), batch_id)
+        own = rows.withColumn("opened", F.lit(batch_id).cast("long"))
+        asked = distinct_requests(own)
+        if ledger is None:
+            answers = flush(batches(asked), provider)
+        else:
+            from .ledger import embeddings
+
+            got = embeddings(ledger, asked.select("profile_key", "content_hash", "text"), provider)
+            answers = got.withColumn("opened", F.lit(batch_id).cast("long"))
+        sink(fan_out(own, answers), batch_id)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(processingTime=every).foreachBatch(work).start()
 
