@@ -177,38 +177,44 @@ def symbol_for_chunk(chunks: DataFrame, spans: DataFrame) -> DataFrame:
 class HashCounts:
     """Signed counts of texts: every byte of each token's SHA-256 adds the next byte's sign at its place.
 
-    Tokens met before are kept, about 50,000 of them; a text's tokens are added up in blocks.
+    Tokens met before are kept, about ``keep`` of them, one byte a place; a block's new tokens are hashed and
+    laid out together.
     """
 
-    def __init__(self, dims: int, keep: int = 50_000, block: int = 8192):
+    def __init__(self, dims: int, keep: int = 200_000, block: int = 8192):
         self.dims, self.keep, self.block = dims, keep, block
         self.clear()
 
     def clear(self) -> None:
         self.place: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.dims), np.float32)
-
-    def _add(self, token: str) -> int:
-        raw = np.frombuffer(hashlib.sha256(token.encode()).digest(), np.uint8)
-        at = self.place[token] = len(self.place)
-        if at == len(self.rows):
+        self.rows = np.zeros((4096, self.dims), np.int8)
+
+    def _learn(self, tokens: list[str]) -> None:
+        """Rows of tokens that are new; a row's counts lie between -32 and 32."""
+        raw = np.frombuffer(b"".join(hashlib.sha256(t.encode()).digest() for t in tokens), np.uint8).reshape(len(tokens), 32)
+        sign = np.where(np.roll(raw, -1, axis=1) % 2 == 0, 1.0, -1.0)
+        at = raw % self.dims + np.arange(len(tokens))[:, None] * self.dims
+        rows = np.bincount(at.ravel(), sign.ravel(), len(tokens) * self.dims).reshape(len(tokens), self.dims)
+        start = len(self.place)
+        while start + len(tokens) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-        np.add.at(self.rows[at], raw % self.dims, np.where(np.roll(raw, -1) % 2 == 0, 1, -1).astype(np.float32))
-        return at
+        self.rows[start : start + len(tokens)] = rows
+        self.place.update(zip(tokens, range(start, start + len(tokens)), strict=True))
 
     def __call__(self, texts: pd.Series) -> np.ndarray:
         out = np.zeros((len(texts), self.dims), np.int64)
-        place = self.place
         for i, text in enumerate(texts):
             tokens = (text or "").lower().split()
             for k in range(0, len(tokens), self.block):
-                if len(place) > self.keep:
+                if len(self.place) > self.keep:
                     self.clear()
-                    place = self.place
                 seen = Counter(tokens[k : k + self.block])  # each distinct token once
-                ids = [at if (at := place.get(t)) is not None else self._add(t) for t in seen]
+                place = self.place
+                if new := [t for t in seen if t not in place]:
+                    self._learn(new)
+                ids = np.fromiter(map(place.__getitem__, seen), np.int64, len(seen))
                 counts = np.fromiter(seen.values(), np.float32, len(ids))
-                out[i] += np.rint(counts @ self.rows[ids]).astype(np.int64)  # exact: sums below 2 ** 24
+                out[i] += np.rint(counts @ self.rows[ids].astype(np.float32)).astype(np.int64)  # exact: sums below 2 ** 24
         return out
 
 

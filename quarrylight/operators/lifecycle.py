@@ -28,7 +28,7 @@ def rebuild(manifests: DataFrame, documents: DataFrame, files: DataFrame) -> dic
     """What a rebuild embeds anew and what it deletes.
 
     ``embed``: documents (doc_id, path, content) of kinds other than project whose file is there, from the
-    file's text, in order of their last change; ``gone``: doc_ids whose file is missing; ``rescan``:
+    file's text, with the time of their last change to order by; ``gone``: doc_ids whose file is missing; ``rescan``:
     project paths, which the project index takes up by itself.
     """
     own = manifests.join(files.select("path", F.col("content").alias("text")), "path", "left")
