@@ -197,7 +197,7 @@ def consolidate(members: DataFrame, contents: DataFrame, root: str, at_ms: int,
     decided = I.decision_note(F.col("title"), summary, F.array_join("points", "\n"), F.concat(F.lit("Consolidated from "), F.col("n").cast("string"), F.lit(" memories.")), F.array(F.lit("consolidated")))
     rows = made.join(consolidation_titles(members, key), key)
     is_decision = F.col("kind") == "decision"
-    return N.remember(rows.select("title", F.when(is_decision, decided).otherwise(note).alias("content"), F.when(is_decision, "decision").otherwise("manual").alias("source_kind"), F.lit("stable").alias("memory_tier"), F.when(is_decision, 0.95).otherwise(0.88).alias("stability_score")), root, at_ms)
+    return N.remember(rows.select("title", F.when(is_decision, decided).otherwise(note).alias("content"), F.when(is_decision, "decision").otherwise("manual").alias("source_kind"), F.lit("stable").alias("memory_tier"), F.when(is_decision, 0.95).otherwise(0.88).alias("stability_score")), root, at_ms, each=True)
 
 
 def governance(sources: DataFrame, clusters: DataFrame, stale: DataFrame, now_ms: int, days: int = 45) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import lexer
 
 
 def scan_changes(files: DataFrame, manifests: DataFrame, profile: str, max_bytes: int = 256_000) -> DataFrame:
@@ -61,56 +62,16 @@ RESERVED = {"if", "for", "while", "switch", "catch", "return", "async"}
 _COMPILED = [re.compile(p, re.M) for p in SYMBOLS]
 
 
-#: Comments and texts of a language, which hold no declarations.
-_C_LIKE = r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\""
-HIDDEN = {
-    "go": re.compile(_C_LIKE + r"|`[^`]*`|'(?:\\.|[^'\\\n])+'", re.S),
-    "rust": re.compile(_C_LIKE + r"|r(#*)\".*?\"\1|'(?:\\.|[^'\\\n])'", re.S),
-    "java": re.compile(r'"""(?:.*?)"""|' + _C_LIKE + r"|'(?:\\.|[^'\\\n])+'", re.S),
-    "typescript": re.compile(_C_LIKE + r"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S),
-}
-HIDDEN["javascript"] = HIDDEN["typescript"]
-_TYPED = r"(?:[\w$.]+(?:<[^;(){}]*>)?(?:\[\])*\s+)"
-#: Declarations of a language, each with its name as the first group.
-DECLARED = {
-    "go": (r"\bfunc\s+(?:\([^()]*\)\s*)?([A-Za-z_]\w*)\s*[(\[]", r"\btype\s+([A-Za-z_]\w*)", r"^[ \t]+([A-Za-z_]\w*)(?:\[[^\]]*\])?[ \t]+(?:struct|interface)\b"),
-    "rust": (r"\b(?:struct|enum|trait|union|mod)\s+([A-Za-z_]\w*)", r"\bfn\s+([A-Za-z_]\w*)", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?type\s+([A-Za-z_]\w*)", r"\bmacro_rules!\s*([A-Za-z_]\w*)"),
-    "java": (
-        r"\b(?:class|interface|enum|record)\s+([A-Za-z_$][\w$]*)", rf"^[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*(?:<[^>]*>\s*)?{_TYPED}+([A-Za-z_$][\w$]*)\s*\([^()]*\)\s*(?:throws\s+[\w.,\s]+)?[{{;]",
-        r"^[ \t]*(?:public|protected|private)\s+([A-Za-z_$][\w$]*)\s*\([^()]*\)\s*(?:throws\s+[\w.,\s]+)?\{", rf"{_TYPED}([A-Za-z_$][\w$]*)\s*=\s*(?:\([^()]*\)|[\w$]+)\s*->",
-    ),
-    "typescript": (
-        r"\b(?:class|interface|enum|namespace)\s+([A-Za-z_$][\w$]*)", r"\btype\s+([A-Za-z_$][\w$]*)\s*(?:<[^=]*>)?\s*=", r"\bfunction\b\s*\*?\s*([A-Za-z_$][\w$]*)",
-        r"^[ \t]*(?:(?:public|private|protected|static|async|override|get|set|abstract|readonly)\s+)*\*?#?([A-Za-z_$][\w$]*)\s*(?:<[^>]*>)?\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::\s*[^{;=]+)?\{",
-        r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^()]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>", r"\b(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s+)?function\b",
-    ),
-}
-DECLARED["javascript"] = DECLARED["typescript"]
-_DECLARED = {k: [re.compile(p, re.M) for p in v] for k, v in DECLARED.items()}
-_STATEMENTS = {"if", "for", "while", "switch", "catch", "return", "else", "new", "throw", "do", "try", "await", "yield", "case", "super", "this", "synchronized", "assert", "with", "function", "constructor"}
-
-
-def declared_in(content: str, language: str) -> list[tuple[str, int]]:
-    """(name, index) of the declarations of a Go, Rust, Java, TypeScript or JavaScript text.
-
-    Comments and quoted texts are blanked out first, at their length; a call or a statement that looks like a
-    declaration is told apart by its words.
-    """
-    blank = HIDDEN[language].sub(lambda m: re.sub(r"[^\n]", " ", m.group()), content)
-    hits = {}
-    for p in _DECLARED[language]:
-        for m in p.finditer(blank):
-            first = m.group().split(None, 1)[0] if m.group().strip() else ""
-            if m.group(1) not in _STATEMENTS and first not in ("return", "new", "throw", "else", "await", "case"):
-                hits.setdefault(m.start(1), m.group(1))
-    return [(hits[at], at) for at in sorted(hits)]
+#: Patterns that infer the name of a text, the first that matches counts.
+INFERRED = (*SYMBOLS[:6], r"const\s+([A-Za-z_]\w*)\s*=\s*(?:async\s*)?(?:function|<)", *SYMBOLS[6:], r"struct\s+([A-Za-z_]\w*)", r"enum\s+([A-Za-z_]\w*)")
+_INFERRED = [re.compile(p, re.M) for p in INFERRED]
 
 
 def inferred_symbol(label: str, content: str, *, label_too: bool = True, language: str | None = None) -> str | None:
     """A file's first declared symbol, else the first pattern's name in its first 2000 characters, else its label without extension."""
     if language and (found := symbols_in(content, language)):
         return found[0][0]
-    for p in _COMPILED:
+    for p in _INFERRED:
         m = p.search(content[:2000])
         if m and m.group(1).lower() not in RESERVED:
             return m.group(1)
@@ -132,7 +93,7 @@ def inferred_symbols(files: DataFrame) -> DataFrame:
 def symbols_in(content: str, language: str | None = None) -> list[tuple[str, int]]:
     """(name, index) by index: Python through its parser, Go, Rust, Java, TypeScript and JavaScript by their declarations,
     all else and what does not parse through patterns."""
-    if language in _DECLARED and (found := declared_in(content, language)):
+    if language in lexer.QUOTED and (found := lexer.declarations(content, language)):
         return found
     if language == "python":
         try:
@@ -156,9 +117,8 @@ def symbol_spans(files: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for doc, content, language in f.itertuples(index=False):
-                if content:
-                    yield pd.DataFrame([(doc, n, a, i) for i, (n, a) in enumerate(symbols_in(content, language))], columns=["doc_id", "name", "at", "turn"])
+            rows = [(doc, n, a, i) for doc, content, language in f.itertuples(index=False) if content for i, (n, a) in enumerate(symbols_in(content, language))]
+            yield pd.DataFrame(rows, columns=["doc_id", "name", "at", "turn"])
 
     return files.select("doc_id", "content", "language").mapInPandas(run, "doc_id long, name string, at long, turn int")
 

@@ -53,17 +53,18 @@ def note_id(root: str, at_ms: int) -> Column:
     return F.concat(F.lit("manual:"), F.sha1(_note_path(note_title(at_ms), root).cast("binary")))
 
 
-def remember(notes: DataFrame, root: str, at_ms: int) -> DataFrame:
+def remember(notes: DataFrame, root: str, at_ms: int, *, each: bool = False) -> DataFrame:
     """Documents of notes (title, content, source_kind, and optionally tags, module_name, memory_tier, stability_score).
 
     The path follows from kind and title, or from kind and time without a title; the id from the path.
     A null or empty content is remembered as empty and has no chunks. Of notes that lead to one path one stays,
     as a later one overwrites an earlier one: the last by ``seq`` (a column of the notes), without it the one
-    with the greatest content and title.
+    with the greatest content and title. ``each`` keeps them all, for a caller that writes one after the other.
     """
     have = set(notes.columns)
     order = F.struct("seq") if "seq" in have else F.struct("content", "title")
-    notes = notes.groupBy(note_id(root, at_ms).alias("_id")).agg(F.max_by(F.struct(*notes.columns), order).alias("n")).select("n.*")
+    if not each:
+        notes = notes.groupBy(note_id(root, at_ms).alias("_id")).agg(F.max_by(F.struct(*notes.columns), order).alias("n")).select("n.*")
     given = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
     title = note_title(at_ms)
     path = _note_path(title, root)
