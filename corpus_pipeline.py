@@ -68,9 +68,9 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of at most 2048 tokens; one row for each piece."""
+    """Packs the documents into sequences of at most 2048 tokens; one row for each piece, with its ids (little-endian uint32)."""
     prepare(spark)
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
 
 
 STAGES = [("quality classifier", quality_classifier), ("minhash near-dedup", near_duplicates), ("suffix-array dedup", suffix_array_dedup), ("packing", pack_sequences)]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -356,6 +357,7 @@ def test_pipeline_stages(spark, sf):
 
     pieces = p.pack_sequences(spark, docs, sf)
     assert pieces.where("start = 0").count() == len(rows()) and pieces.agg({"length": "max"}).first()[0] <= packing.CAPACITY
+    assert all(len(r.ids) == 4 * r.length and zlib.crc32(r.ids) == r.ids_crc32 for r in pieces.collect())
     for stage in (p.near_duplicates, p.suffix_array_dedup, p.pack_sequences, p.quality_classifier):
         assert stage(spark, empty(spark), sf).count() == 0
     assert p.run(spark, sf).count() > 100
