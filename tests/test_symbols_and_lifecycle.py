@@ -48,12 +48,12 @@ def test_scan_and_globs(spark, tmp_path):
         (tmp_path / path).write_text(f"text of {path}", encoding="utf-8")
     got = {r.path: r.content for r in X.scan(spark, f"file://{tmp_path}").collect()}
     assert got == {p: f"text of {p}" for p in ("a.md", "src/b c.py", "src/_own/d.md", "_top/e.md", "_j.md", "k+%41.md")}
-    assert {r.path for r in X.markdown(spark, str(tmp_path)).collect()} == {"a.md", "k+%41.md", "node_modules/g.md", "src/dist/h.md"}
+    assert {r.path for r in X.markdown(spark, str(tmp_path)).collect()} == {"a.md", "_j.md", "k+%41.md", "node_modules/g.md", "src/dist/h.md"}
     assert {r.path for r in X.scan(spark, str(tmp_path), max_bytes=12).where("content is null").collect()} == {p for p in got if len(f"text of {p}") > 12}
     asked = spark.createDataFrame([("a.md",), ("zz.md",)], "path string")
     assert {r.path: r.content for r in X.texts_at(asked, X.scan(spark, str(tmp_path)), None).collect()} == {"a.md": "text of a.md", "zz.md": None}
     made = X.index_documents(X.scan(spark, str(tmp_path)), "p", NOW)
-    assert made["manifests"].count() == 5 and made["chunks"].count() == 5 and all(len(r.embedding) == 64 for r in made["chunks"].collect())
+    assert made["manifests"].count() == 6 and made["chunks"].count() == 6 and all(len(r.embedding) == 64 for r in made["chunks"].collect())
 
 
 def test_small_inputs(tmp_path):
