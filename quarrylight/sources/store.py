@@ -94,7 +94,7 @@ class Store:
 
         Actions: ``append`` adds rows; ``replace`` adds rows and drops all rows of their keys; ``upsert`` does
         so with one row for each key (of equal keys any one stays, so give one); ``delete`` drops the rows
-        of the keys. A table has one step. The rows are read once for each try and should not depend on this
+        of the keys; ``overwrite`` drops every row that was there. A table has one step. The rows are read once for each try and should not depend on this
         store's newest state: use ``update`` for that.
         """
         return self.update(operation, lambda _: steps, txn, tries)
@@ -150,6 +150,8 @@ class Store:
         bucket = self._bucket(table)
         if action == "append":
             return {"drop": {}, "add": self._write(_as(rows, schema), bucket, table), "blind": True}
+        if action == "overwrite":
+            return {"drop": dict(table["parts"]), "add": self._write(_as(rows, schema), bucket, table)}
         if not key:
             raise ValueError("only keyed tables can be changed by key")
         keys = rows.select(*key).distinct()
