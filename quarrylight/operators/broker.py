@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from ..functions import text as T
 #: Turns the texts of one request into their vectors; it runs on executors.
 Provider = Callable[[list[str]], list[list[float]]]
 IDLE_MS = 120_000
+#: Numbers of answers that a task holds at once.
+HELD = 200_000
 
 
 def windows(items: DataFrame, key: str = "profile_key", span_ms: int = 20) -> DataFrame:
@@ -61,21 +64,38 @@ def flush(batched: DataFrame, provider: Provider, *, concurrent: int = 4, key: s
     A call that fails, or that answers with another number of vectors, fails its own batch only: its
     texts have an error and no vector. Order inside a batch is the arrival's.
     """
-    columns = [key, "opened", "batch", "index", "content_hash", "text"]
     schema = f"{key} string, opened long, content_hash string, embedding array<double>, error string"
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("index")
-        try:
-            found, error = provider(group["text"].tolist()), None
-            if len(found) != len(group):
-                raise ValueError(f"{len(found)} vectors for {len(group)} texts")
-        except Exception as e:  # noqa: BLE001  whatever the provider raises belongs to this batch
-            found, error = [None] * len(group), f"{type(e).__name__}: {e}"
-        return pd.DataFrame({key: group[key], "opened": group["opened"], "content_hash": group["content_hash"], "embedding": list(found), "error": error})
-
-    rows = batched.select(*columns).withColumn(key, F.col(key).cast("string"))
-    return rows.repartition(concurrent, key, "opened", "batch").groupBy(key, "opened", "batch").applyInPandas(one, schema)
+    asked = pa.schema([(key, pa.string()), ("opened", pa.int64()), ("content_hash", pa.string()), ("embedding", pa.list_(pa.float64())), ("error", pa.string())])
+
+    def packed(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), asked, strict=True)], schema=asked)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for frame in frames:
+            for r in (r for at in range(0, frame.num_rows, 100) for r in frame.slice(at, 100).to_pylist()):
+                found, error = _ask(provider, [t["text"] for t in r["texts"]])
+                out += [(r[key], r["opened"], t["content_hash"], v, error) for t, v in zip(r["texts"], found, strict=True)]
+                held += sum(16 + (0 if v is None else len(v)) for v in found)
+                if held >= HELD:
+                    yield packed(out)
+                    out, held = [], 0
+        if out:
+            yield packed(out)
+
+    one = F.struct("index", "content_hash", "text")
+    rows = batched.select(F.col(key).cast("string").alias(key), "opened", "batch", "index", "content_hash", "text").repartition(concurrent, key, "opened", "batch")
+    return rows.groupBy(key, "opened", "batch").agg(F.array_sort(F.collect_list(one)).alias("texts")).mapInArrow(run, schema)
+
+
+def _ask(provider: Provider, texts: list[str]) -> tuple[list, str | None]:
+    try:
+        found = list(provider(texts))
+        if len(found) != len(texts):
+            raise ValueError(f"{len(found)} vectors for {len(texts)} texts")
+        return found, None
+    except Exception as e:  # noqa: BLE001  whatever the provider raises belongs to this batch
+        return [None] * len(texts), f"{type(e).__name__}: {e}"
 
 
 def fan_out(windowed: DataFrame, answers: DataFrame, key: str = "profile_key") -> DataFrame:
