@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,18 +90,20 @@ def conflict_pairs(found: DataFrame, k: int = 10, base: float = 0.836, overlap:
 
     ``found``: doc_id, path, polarity, subject. Pairs score more with equal path tails; ties go by ids and
     subject. Of each subject, and of each tail in it, the first ``k`` + 1 documents of a side hold all pairs
-    that can be among the best, so a subject that everybody claims makes a bounded number of pairs.
+    that can be among the best: those of a subject meet across tails, those of a tail in their tail only, so a
+    subject that everybody claims makes a bounded number of pairs.
     """
     own = found.withColumn("tail", F.lower(T.path_tail(F.col("path")))).select("doc_id", "subject", "polarity", "tail").distinct()
-    sides = []
-    for group in (["subject"], ["subject", "tail"]):
+    alike = F.coalesce(F.col("a.tail") == F.col("b.tail"), F.lit(False))
+    pairs = None
+    for group, kept in ((["subject"], ~alike), (["subject", "tail"], alike)):
         w = Window.partitionBy(*group, "polarity").orderBy("doc_id")
-        sides.append(own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1).drop("_r"))
-    few = sides[0].unionByName(sides[1]).distinct()
-    a, b = (few.where(F.col("polarity") == p).alias(n) for p, n in (("for", "a"), ("against", "b")))
-    met = a.join(b, (F.col("a.subject") == F.col("b.subject")) & (F.col("a.doc_id") != F.col("b.doc_id")))
-    score = T.rounded(F.least(F.lit(1.0), F.lit(base) + F.when(F.col("a.tail") == F.col("b.tail"), overlap).otherwise(0.0)))
-    pairs = met.select(F.least("a.doc_id", "b.doc_id").alias("left_id"), F.greatest("a.doc_id", "b.doc_id").alias("right_id"), F.col("a.subject").alias("subject"), score.alias("score"))
+        few = own.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k + 1)
+        a, b = (few.where(F.col("polarity") == p).alias(n) for p, n in (("for", "a"), ("against", "b")))
+        met = a.join(b, reduce(and_, (F.col(f"a.{c}") == F.col(f"b.{c}") for c in group)) & (F.col("a.doc_id") != F.col("b.doc_id"))).where(kept)
+        score = T.rounded(F.least(F.lit(1.0), F.lit(base) + F.when(alike, overlap).otherwise(0.0)))
+        found_here = met.select(F.least("a.doc_id", "b.doc_id").alias("left_id"), F.greatest("a.doc_id", "b.doc_id").alias("right_id"), F.col("a.subject").alias("subject"), score.alias("score"))
+        pairs = found_here if pairs is None else pairs.unionByName(found_here)
     return pairs.orderBy(F.desc("score"), "left_id", "right_id", "subject").limit(k)
 
 
