@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .lineage import cut
 
 CHECKPOINT = "id string, title string, session_goal string, current_status string, working_memory string, next_steps array<string>, blockers array<string>, open_questions array<string>, branch_name string, touched_files array<string>, tags array<string>, created_at long, updated_at long"
 LISTS = ("next_steps", "blockers", "open_questions", "touched_files", "tags")
+#: Different terms that are broadcast at most.
+FEW_TERMS = 100_000
 MARKS = ("title", "session_goal", "current_status", "working_memory", "next_steps", "blockers", "touched_files")
 
 
@@ -65,12 +68,17 @@ def match_terms(texts: DataFrame, terms: DataFrame, key: str, text: str, name: s
     """Distinct (``key``, ``name``) of texts that contain a term; null and empty terms match nothing.
 
     A text that contains a term contains the term's first ``size`` characters, so texts and terms meet
-    under that gram (shorter terms under the whole of themselves) and are compared only there.
+    under that gram (shorter terms under the whole of themselves) and are compared only there. Terms that
+    several names share are looked for once; up to ``FEW_TERMS`` different ones are broadcast.
     """
-    asked = terms.where(F.coalesce(F.col(term), F.lit("")) != "").select(name, term, F.substring(term, 1, size).alias("_g"))
+    asked = cut(terms.where(F.coalesce(F.col(term), F.lit("")) != "").groupBy(F.col(term).alias("_t")).agg(F.collect_set(F.struct(name)).alias("_names")).withColumn("_g", F.substring("_t", 1, size)))
+    if asked.limit(FEW_TERMS + 1).count() <= FEW_TERMS:  # grams of texts are then probed as they come, not shuffled
+        asked = F.broadcast(asked)
     grams = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substr(F.col(text), i, F.lit(n)))
     every = texts.select(key, text, F.explode(F.array_distinct(F.flatten(F.array(*(grams(n) for n in range(1, size + 1)))))).alias("_g"))
-    return every.join(asked, "_g").where(F.contains(F.col(text), F.col(term))).select(key, name).distinct()
+    hits = every.join(asked, "_g").where(F.contains(F.col(text), F.col("_t"))).groupBy(key).agg(F.collect_set("_t").alias("_ts"))
+    met = hits.select(key, F.explode("_ts").alias("_t")).join(asked.select("_t", "_names"), "_t")
+    return met.groupBy(key).agg(F.array_distinct(F.flatten(F.collect_list("_names"))).alias("_all")).select(key, F.explode("_all").alias("_n")).select(key, F.col("_n")[name].alias(name))
 
 
 def domain_index(domains: DataFrame, files: DataFrame) -> DataFrame:
