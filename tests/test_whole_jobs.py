@@ -142,3 +142,27 @@ def test_consolidation_of_copies_of_many_ages(spark):
     want = plain_groups(rows, 0.8)
     assert grouped(spark, rows, 0.8) == want and want[4] == (1, 5)
     assert spark.range(1).select(hygiene.nearest_times(F.array(F.lit(9).cast("long"), F.lit(1).cast("long")), F.array(F.lit(4).cast("long"), F.lit(20).cast("long")))).first()[0] == 3
+
+
+def test_consolidation_hands_on_no_row_for_each_link(spark):
+    """300 notes of one kind with 5 words of 12: nearly all are linked; rows handed on grow with the notes, the mean is that of all links."""
+    from quarrylight.operators.note_links import PARTS, linked
+
+    r, words = random.Random(5), [f"word{i}" for i in range(12)]
+    rows = [(i, " ".join(r.sample(words, 5)), " ".join(r.sample(words, 5)) + f" own{i}", "a/x/n.md", "manual", "stable", r.randrange(100) * DAY) for i in range(1, 301)]
+    sources = spark.createDataFrame(rows, NOTES)
+    _, pairs = hygiene.consolidation_links(sources)
+    score = [round(x.score * 10**4) for x in pairs.collect()]
+    found = linked(hygiene.consolidation_classes(sources)[1], 0.44).collect()
+    assert len(score) > 20_000 and len(found) <= (PARTS + 1) * 300
+    assert sum(x.links for x in found) == len(score) and sum(x.total for x in found) == sum(score)
+    got = hygiene.consolidation_groups(sources).collect()
+    assert {(x.group_id, x.n, x.group_score) for x in got} == {(1, 300, (2 * sum(score) + len(score)) // (2 * len(score)) / 10**4)}
+
+
+def test_consolidation_without_tokens_times_or_paths(spark):
+    rows = [(1, None, "same body here now", None, "manual", None, None), (2, None, "same body here and", None, "manual", None, 5), (3, "same title", "same body here now", "a/x/n.md", None, "stable", None), (4, "same title", "same body here and", "a/x/n.md", None, "stable", 7), (5, None, None, None, None, None, None), (6, None, "", "a/x/n.md", None, "stable", 9)]
+    sources = spark.createDataFrame(rows, NOTES)
+    members, pairs = hygiene.consolidation_links(sources)
+    links = sorted((x.a, x.b, x.score) for x in pairs.collect())
+    assert links and {r.doc_id: r.group_id for r in hygiene.consolidation_groups(sources).collect()} == {x: min(y for y in (a, b)) for a, b, _ in links for x in (a, b)}
