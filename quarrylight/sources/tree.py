@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -75,16 +76,32 @@ class TreeReader(DataSourceReader):
         self.rules = Rules(json.loads(options.get("include", '["**"]')), json.loads(options.get("exclude", "[]")))
         self.max_bytes = int(options["max_bytes"]) if options.get("max_bytes") else None
 
-    def _list(self, files: fs.FileSystem, base: str, folder: str) -> tuple[list[fs.FileInfo], list[str]]:
-        """Taken files and entered folders of a folder; a folder that has gone is empty."""
-        found, folders = [], []
+    def _list(self, files: fs.FileSystem, base: str, folder: str) -> Iterator[tuple[str, fs.FileInfo | os.DirEntry | None]]:
+        """(relative path, its file) of taken files and (relative path, None) of entered folders; a folder that has gone is empty.
+
+        A local folder is read entry by entry, so a folder of any number of files takes no memory for each; other
+        file systems hand over a folder's listing as a whole.
+        """
+        if isinstance(files, fs.LocalFileSystem):
+            try:
+                with os.scandir(f"{base}/{folder}" if folder else base) as entries:
+                    for entry in entries:
+                        path = f"{folder}/{entry.name}" if folder else entry.name
+                        if entry.is_dir():
+                            if self.rules.enters(path):
+                                yield path, None
+                        elif self.rules.takes(path) and entry.is_file():
+                            yield path, entry
+            except FileNotFoundError:
+                if not folder:
+                    raise
+            return
         for info in files.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base, allow_not_found=bool(folder))):
             path = info.path[len(base) :].lstrip("/")
             if info.type == fs.FileType.Directory and self.rules.enters(path):
-                folders.append(path)
+                yield path, None
             elif info.type == fs.FileType.File and self.rules.takes(path):
-                found.append(info)
-        return found, folders
+                yield path, info
 
     def partitions(self) -> Sequence[Folder]:
         files, base = filesystem(self.root)
@@ -92,17 +109,19 @@ class TreeReader(DataSourceReader):
         while todo and len(out) + len(todo) < FOLDERS:
             folder = todo.pop(0)
             out.append(Folder(folder, False))
-            todo += self._list(files, base, folder)[1]
+            todo += [path for path, info in self._list(files, base, folder) if info is None]
         return out + [Folder(f, True) for f in todo]
 
     def read(self, partition: Folder) -> Iterator[pa.RecordBatch]:
         files, base = filesystem(self.root)
         todo, rows, held = [partition.path], [], 0
         while todo:
-            found, folders = self._list(files, base, todo.pop())
-            todo += folders if partition.deep else []
-            for info in found:
-                row = self._row(files, base, info)
+            for path, info in self._list(files, base, todo.pop()):
+                if info is None:
+                    if partition.deep:
+                        todo.append(path)
+                    continue
+                row = self._row(files, path, info)
                 if row is None:
                     continue
                 rows.append(row)
@@ -113,16 +132,17 @@ class TreeReader(DataSourceReader):
         if rows:
             yield self._batch(rows)
 
-    def _row(self, files: fs.FileSystem, base: str, info: fs.FileInfo) -> tuple | None:
+    def _row(self, files: fs.FileSystem, path: str, info: fs.FileInfo | os.DirEntry) -> tuple | None:
         """A file that goes between listing and reading is no file."""
         content = None
-        if self.max_bytes is None or info.size <= self.max_bytes:
-            try:
+        try:
+            size, at = (info.size, info.mtime_ns or 0) if isinstance(info, fs.FileInfo) else ((stat := info.stat()).st_size, stat.st_mtime_ns)
+            if self.max_bytes is None or size <= self.max_bytes:
                 with files.open_input_stream(info.path) as f:
                     content = f.read()
-            except FileNotFoundError:
-                return None
-        return info.path[len(base) :].lstrip("/"), info.size, (info.mtime_ns or 0) // 1_000_000, content
+        except FileNotFoundError:
+            return None
+        return path, size, at // 1_000_000, content
 
     @staticmethod
     def _batch(rows: list[tuple]) -> pa.RecordBatch:

@@ -64,3 +64,30 @@ def test_missing_root_and_empty_tree(spark, tmp_path):
     assert X.scan(spark, str(tmp_path)).count() == 0
     with pytest.raises(Exception, match="(?i)not found|no such|does not exist|non-existent"):
         X.scan(spark, str(tmp_path / "nowhere")).count()
+
+
+def test_a_large_folder_is_read_entry_by_entry(tmp_path, monkeypatch):
+    for i in range(50):
+        (tmp_path / f"{i}.md").write_bytes(b"text")
+    listed, scandir = [], os.scandir
+
+    class Counted:
+        def __init__(self, at):
+            self.entries = scandir(at)
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            self.entries.close()
+
+        def __iter__(self):
+            for entry in self.entries:
+                listed.append(entry.name)
+                yield entry
+
+    monkeypatch.setattr(os, "scandir", Counted)
+    monkeypatch.setattr(tree, "BATCH_BYTES", 1)
+    batches = tree.TreeReader({"path": str(tmp_path)}).read(tree.Folder("", True))
+    assert next(batches).num_rows == 1 and len(listed) == 1
+    assert 1 + sum(b.num_rows for b in batches) == 50
