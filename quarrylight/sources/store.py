@@ -163,19 +163,24 @@ class Store:
             first = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
             rows = _as(rows, schema).withColumn("_n", first).where("_n = 1").drop("_n")
         new = left if action == "delete" else left.unionByName(_as(rows, schema))
-        return {"drop": {b: table["parts"].get(b, []) for b in touched}, "add": self._write(new, bucket, table)}
+        return {"drop": {b: table["parts"].get(b, []) for b in touched}, "add": self._write(new, bucket, table, spread=False)}  # the join has spread them by key
 
     @staticmethod
     def _bucket(table: dict) -> Column:
         names = table["key"] or [f["name"] for f in table["schema"]["fields"]]
         return F.pmod(F.xxhash64(*names), F.lit(table["buckets"])).cast("int")
 
-    def _write(self, rows: DataFrame, bucket: Column, table: dict) -> dict[str, list[str]]:
-        """Write rows by bucket; a bucket's rows are spread over a few tasks, so a hot key doesn't stop one."""
+    def _write(self, rows: DataFrame, bucket: Column, table: dict, spread: bool = True) -> dict[str, list[str]]:
+        """Write rows by bucket; a bucket's rows are spread over a few tasks, so a hot key doesn't stop one.
+
+        Without ``spread`` rows stay where they are, which saves a shuffle, and each task writes a file for each bucket.
+        """
         name = uuid.uuid4().hex
         path = f"{self.root}/data/{name}"
         whole = F.xxhash64(*[f["name"] for f in table["schema"]["fields"] if f["type"] in ("string", "long", "integer", "double")] or [F.lit(0)])
-        dealt = rows.withColumn(BUCKET, bucket).withColumn("_s", F.pmod(whole, F.lit(SPREAD))).repartition(BUCKET, "_s").drop("_s")
+        dealt = rows.withColumn(BUCKET, bucket)
+        if spread:
+            dealt = dealt.withColumn("_s", F.pmod(whole, F.lit(SPREAD))).repartition(BUCKET, "_s").drop("_s")
         dealt.write.partitionBy(BUCKET).option("compression", "zstd").parquet(path)
         fs, at = self.log._fs, self.log._path
         found = [f.getPath().getName() for f in fs.listStatus(at(path)) if f.isDirectory()] if fs.exists(at(path)) else []

@@ -188,3 +188,18 @@ def test_notes_of_one_path_and_plans_without_a_title(spark):
     ids = {r.title: r.doc_id for r in docs.collect()}
     assert set(ids) == {"decision-7", "Same"} and docs.count() == 2
     assert {r.doc_id: r.reason for r in off.collect()} == {10: f"Resolved into canonical decision {ids['decision-7']}.", 20: f"Resolved into canonical decision {ids['Same']}."}
+
+
+def test_rewriting_rows_by_key_shuffles_them_for_the_join_only(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "s"), buckets=4)
+    store.create("t", "k long, v string", ("k",))
+    store.commit("append", [("append", "t", spark.range(40).selectExpr("id AS k", "'a' AS v"))])
+    rows = spark.range(50).where("id % 3 = 0").selectExpr("id AS k", "'b' AS v")
+    dealt, frame = [], type(rows)
+    plain = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda self, *a: dealt.append(a) or plain(self, *a))
+    store.commit("upsert", [("upsert", "t", rows)])
+    store.commit("delete", [("delete", "t", spark.range(10).selectExpr("id AS k"))])
+    assert not dealt
+    want = {k: "b" if k % 3 == 0 else "a" for k in range(50) if k >= 10 and (k < 40 or k % 3 == 0)}
+    assert {r.k: r.v for r in store.read("t").collect()} == want
